@@ -19,7 +19,7 @@ from . import arrowtext as A
 
 #: Bounds of the labelled sample: texts a language, bytes of one text, bytes of a dictionary.
 SAMPLE_DOCS, SAMPLE_TEXT, DICT_BYTES = 256, 16 << 10, 96 << 10
-BLOCK, LEVEL, MARGIN = 4096, 3, 0.01
+BLOCK, LEVEL, MARGIN = 4096, 6, 0.01
 UNKNOWN = "und"
 
 
