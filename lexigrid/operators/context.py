@@ -13,18 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.errors import NotAllowedValue
+from ..plans.store import sized
 from . import counts as K
 
 Context = Callable[[DataFrame], DataFrame]
 
 
 def _targets(rows: DataFrame, words: DataFrame | None) -> DataFrame:
-    """Only rows whose word is a target; the vocabulary is small beside the corpus, and Spark picks the join."""
-    return rows if words is None else rows.join(words.select("word"), "word", "left_semi")
+    """Only rows whose word is a target; the vocabulary is counted and broadcast if it is small."""
+    return rows if words is None else rows.join(_one(words, "word"), "word", "left_semi")
+
+
+def _one(vocab: DataFrame, name: str) -> DataFrame:
+    return sized(vocab.select(F.col("word").alias(name)))
 
 
 def _contexts(rows: DataFrame, vocab: DataFrame | None) -> DataFrame:
-    return rows if vocab is None else rows.join(vocab.select(F.col("word").alias("ctx")), "ctx", "left_semi")
+    return rows if vocab is None else rows.join(_one(vocab, "ctx"), "ctx", "left_semi")
 
 
 def _ngrams(tokens: Column, n: int) -> Column:
@@ -62,13 +67,13 @@ class Window:
     def sides(self) -> tuple[int, int]:
         return (self.size, self.size) if isinstance(self.size, int) else tuple(self.size)
 
-    def _draws(self) -> tuple[Column, Column]:
+    def _draws(self, pos: Column) -> tuple[Column, Column]:
         before, after = self.sides
         if not self.dynamic:
             return F.lit(before), F.lit(after)
 
         def draw(k: int, side: int) -> Column:
-            h = F.pmod(F.xxhash64("doc_id", "sent_id", "pos", F.lit(self.seed), F.lit(side)), F.lit(max(k, 1))).cast("int") + 1
+            h = F.pmod(F.xxhash64("doc_id", "sent_id", pos, F.lit(self.seed), F.lit(side)), F.lit(max(k, 1))).cast("int") + 1
             return h if k else F.lit(0)
 
         return (draw(before, 0), draw(after, 0)) if before == after else (draw(before, 0), draw(after, 1))
@@ -79,20 +84,24 @@ class Window:
         if self.n_grams > 1 and vocab is not None:
             sentences = masked(sentences, vocab)
             vocab = None
-        at = _targets(sentences.select("doc_id", "sent_id", "tokens", F.posexplode(F.col("raw") if "raw" in sentences.columns else F.col("tokens")).alias("pos", "word")), words).where("word is not null")
-        b, a = self._draws()
+        words_of = F.col("raw") if "raw" in sentences.columns else F.col("tokens")
         n = self.n_grams
-        grams = _ngrams(F.col("tokens"), n)
-        pos = F.col("pos")
-        # An n-gram at i ends at i + n - 1: on the left it must end before pos.
-        left = F.sequence(F.greatest(F.lit(0), pos - b), pos - n)
-        right = F.sequence(pos + 1, F.least(F.size("tokens") - n, pos + a - n + 1))
-        some = lambda seq, lo, hi: F.when(lo <= hi, seq).otherwise(F.array().cast("array<int>"))
-        starts = F.concat(some(left, F.greatest(F.lit(0), pos - b), pos - n), some(right, pos + 1, F.least(F.size("tokens") - n, pos + a - n + 1)))
-        dist = lambda i: F.when(i < pos, i + (n - 1) - pos).otherwise(i - pos)
-        items = at.withColumn("grams", grams).withColumn("items", F.transform(starts, lambda i: F.struct(F.get("grams", i).alias("ctx"), dist(i).alias("dist"))))
-        out = items.select("doc_id", "sent_id", "pos", "word", F.explode("items").alias("c")).select("doc_id", "sent_id", "pos", "word", "c.ctx", "c.dist").where("ctx is not null")
-        out = _contexts(out, vocab)
+        base = sentences.select("doc_id", "sent_id", words_of.alias("w"), _ngrams(F.col("tokens"), n).alias("grams"))
+        b, a = self.sides
+
+        def around(word: Column, pos: Column) -> Column:
+            """Contexts of one place; an n-gram on the left ends before it, one on the right begins after it."""
+            near, far = (F.lit(b), F.lit(a)) if not self.dynamic else self._draws(pos)
+            lo, hi = F.greatest(F.lit(0), pos - near), F.least(F.size("grams") - 1, pos + far - n + 1)
+            left = F.when(lo <= pos - n, F.sequence(lo, pos - n)).otherwise(F.array().cast("array<int>"))
+            right = F.when(pos + 1 <= hi, F.sequence(pos + 1, hi)).otherwise(F.array().cast("array<int>"))
+            one = lambda i: F.struct(pos.alias("pos"), word.alias("word"), F.get("grams", i).alias("ctx"), F.when(i < pos, i + (n - 1) - pos).otherwise(i - pos).alias("dist"))
+            return F.when(word.isNotNull(), F.transform(F.concat(left, right), one))
+
+        # The pairs are made inside the sentence's row: what leaves it is as wide as a pair, never a sentence.
+        pairs = base.select("doc_id", "sent_id", F.explode(F.flatten(F.filter(F.transform("w", around), lambda x: x.isNotNull()))).alias("c"))
+        out = pairs.select("doc_id", "sent_id", "c.pos", "c.word", "c.ctx", "c.dist").where("ctx is not null")
+        out = _contexts(_targets(out, words), vocab)
         return out.select("doc_id", "sent_id", "pos", "word", "ctx", *(["dist"] if self.distance else []))
 
     def _skipping(self, sentences: DataFrame, words: DataFrame | None, vocab: DataFrame) -> DataFrame:
@@ -105,7 +114,7 @@ class Window:
             marked = marked.join(words.select("word", F.lit(True).alias("is_word")), "word", "left")
         rows = marked.where("is_ctx or is_word").groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "is_ctx", "is_word"))).alias("r"))
         rows = rows.select("doc_id", "sent_id", F.filter("r", lambda x: x.is_ctx).alias("c"), F.explode(F.filter("r", lambda x: x.is_word)).alias("t")).select("doc_id", "sent_id", "c", "t.pos", "t.word")
-        b, a = self._draws()
+        b, a = self._draws(F.col("pos"))
         before, after = F.filter("c", lambda x: x.pos < F.col("pos")), F.filter("c", lambda x: x.pos > F.col("pos"))
         n = self.n_grams
         step = rows.withColumn("l", before).withColumn("r", after).withColumn("b", b).withColumn("a", a)
@@ -134,9 +143,10 @@ class Sentence:
     """All other tokens of the sentence, by place: a word that occurs again is its own context."""
 
     def __call__(self, sentences: DataFrame, words: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
-        at = _targets(sentences.select("doc_id", "sent_id", "tokens", F.posexplode("tokens").alias("pos", "word")), words).where("word is not null")
-        others = F.filter(F.transform("tokens", lambda x, i: F.when(i != F.col("pos"), x)), lambda x: x.isNotNull())
-        return _contexts(at.select("doc_id", "sent_id", "pos", "word", F.explode(others).alias("ctx")), vocab)
+        at = _targets(K.tokens(sentences), words).where("word is not null")
+        # Both sides are narrow; a sentence's pairs are joined where its tokens meet, so no row holds a sentence.
+        other = _contexts(K.tokens(sentences).select("doc_id", "sent_id", F.col("pos").alias("at"), F.col("word").alias("ctx")).where("ctx is not null"), vocab)
+        return at.join(other, ["doc_id", "sent_id"]).where("pos <> at").select("doc_id", "sent_id", "pos", "word", "ctx")
 
 
 ALL = "all"
@@ -212,3 +222,30 @@ class Dependency:
             rows = rows.where(F.col("t.POS").isin([self.pos_keep] if isinstance(self.pos_keep, str) else list(self.pos_keep)))
         out = rows.select(*key, "pos", "word", ctx.alias("ctx")).distinct()
         return _contexts(_targets(out, words), vocab)
+
+
+@dataclass(frozen=True)
+class Custom:
+    """Contexts by a Python function of a sentence's tokens that returns one list of contexts for each token.
+
+    It runs in Arrow workers, on whole sentences.
+    """
+
+    function: Callable[[list], list]
+
+    def __call__(self, sentences: DataFrame, words: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
+        import pyarrow as pa
+
+        f = self.function
+        slim = sentences.select("doc_id", "sent_id", "tokens")
+        kind = pa.list_(pa.struct([("pos", pa.int32()), ("word", pa.string()), ("ctx", pa.string())]))
+
+        def run(batches):
+            for b in batches:
+                found = [[{"pos": i, "word": w, "ctx": c} for i, (w, cs) in enumerate(zip(s, f(s))) for c in cs] for s in b.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, kind)], ["doc_id", "sent_id", "items"])
+
+        ids = [slim.schema[c].dataType.simpleString() for c in ("doc_id", "sent_id")]
+        out = slim.mapInArrow(run, f"doc_id {ids[0]}, sent_id {ids[1]}, items array<struct<pos:int,word:string,ctx:string>>")
+        rows = out.select("doc_id", "sent_id", F.explode("items").alias("c")).select("doc_id", "sent_id", "c.pos", "c.word", "c.ctx")
+        return _contexts(_targets(rows, words), vocab)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.errors import IncompatibleValue, RequiredValue
 from . import counts as K
-from .context import Context, Window
+from .context import Context, Sentence, Window, _contexts, _targets
 
 
 def count_cooccurrence(
@@ -41,11 +41,28 @@ def count_cooccurrence(
             sentences = sentences.withColumn("tokens", T.merge_bigrams(F.col("tokens"), listed))
         if subsampling is not None:
             sentences = K.subsample(sentences, K.subsampling(K.count_words(sentences), subsampling), seed)
+    if isinstance(context, Sentence):
+        return _within_sentences(sentences, words, contexts)
     rows = context(sentences, words, contexts)
     item = ["ctx", "dist"] if "dist" in rows.columns else ["ctx"]
     return rows.groupBy("word", *item).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _within_sentences(sentences: DataFrame, words: DataFrame, contexts: DataFrame | None) -> DataFrame:
+    """Sentence contexts from each sentence's word counts: a word x times and another y times make x y pairs, a word with itself x (x - 1).
+
+    One exchange by sentence serves the counting and the pairing; pairs of
+    places are never made.
+    """
+    # Only the words that may pair: a long sentence's other words don't move.
+    at = K.tokens(sentences).where("word is not null").repartition("doc_id", "sent_id")
+    n = at.groupBy("doc_id", "sent_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    left = _targets(n, words)
+    right = _contexts(n.select("doc_id", "sent_id", F.col("word").alias("ctx"), F.col("n").alias("m")), contexts)
+    pairs = left.join(right, ["doc_id", "sent_id"]).select("word", "ctx", (F.col("n") * (F.col("m") - (F.col("word") == F.col("ctx")).cast("int"))).alias("n")).where("n > 0")
+    return pairs.groupBy("word", "ctx").agg(F.sum("n").alias("n"))
+
+
 def merge(*cells: DataFrame, word_keys: Sequence[str] | None = None, context_keys: Sequence[str] | None = None, concat: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """The sum of several counts, over all their words and contexts.
 

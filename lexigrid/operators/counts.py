@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.errors import NotAllowedValue, OutOfVocabulary, UnsupportedType
+from ..plans.store import sized
 
 Filter = Callable[[DataFrame], DataFrame]
 
@@ -154,7 +155,7 @@ def bigrams_of(vocab: DataFrame) -> DataFrame:
 
 def encode(sentences: DataFrame, vocab: DataFrame) -> DataFrame:
     """``(doc_id, sent_id, ids)``: the index of each token in its place, -1 out of vocabulary."""
-    at = tokens(sentences).join(F.broadcast(vocab), "word", "left").select("doc_id", "sent_id", F.struct("pos", F.coalesce("idx", F.lit(-1).cast("long")).alias("idx")).alias("t"))
+    at = tokens(sentences).join(sized(vocab), "word", "left").select("doc_id", "sent_id", F.struct("pos", F.coalesce("idx", F.lit(-1).cast("long")).alias("idx")).alias("t"))
     ids = F.transform(F.array_sort(F.collect_list("t")), lambda t: t.idx)
     empty = sentences.where(F.size("tokens") == 0).select("doc_id", "sent_id", F.array().cast("array<bigint>").alias("ids"))
     return at.groupBy("doc_id", "sent_id").agg(ids.alias("ids")).unionByName(empty)
@@ -174,7 +175,7 @@ def subsample(sentences: DataFrame, probabilities: DataFrame, seed: int = 0) ->
     same however the table is partitioned.
     """
     draw = (F.pmod(F.xxhash64("doc_id", "sent_id", "pos", F.lit(seed)), F.lit(1 << 31)) / F.lit(float(1 << 31))).alias("u")
-    at = tokens(sentences).select("*", draw).join(F.broadcast(probabilities), "word", "left")
+    at = tokens(sentences).select("*", draw).join(sized(probabilities), "word", "left")
     kept = at.select("doc_id", "sent_id", F.struct("pos", F.when(F.col("p").isNull() | (F.col("u") >= F.col("p")), F.col("word")).alias("word")).alias("t"))
     words = F.transform(F.array_sort(F.collect_list("t")), lambda t: t.word)
     empty = sentences.where(F.size("tokens") == 0).select("doc_id", "sent_id", "tokens")

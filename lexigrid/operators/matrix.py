@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.errors import IncompatibleValue, NotAllowedValue
+from ..plans.store import materialize
 
 
 def normalize(cells: DataFrame, norm: str = "l2", by: str = "word") -> DataFrame:
@@ -93,8 +94,9 @@ def svd(cells: DataFrame, dimensions: int, weight: float = 1.0, add_context_vect
     context to those of the word of the same name: V times the singular values
     to the power 1 - ``weight``, or ``weight`` if ``symmetric``.
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+    from pyspark.mllib.linalg import Vectors, VectorUDT
+    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+    from pyspark.sql.types import LongType, StructField, StructType
 
     if not 0 <= weight <= 1:
         warnings.warn("the weight is usually between 0 and 1", stacklevel=2)
@@ -107,7 +109,10 @@ def svd(cells: DataFrame, dimensions: int, weight: float = 1.0, add_context_vect
     ci = spark.createDataFrame(list(zip(ctxs, range(len(ctxs)))), "ctx string, j int")
     packed = cells.join(wi, "word").join(ci, "ctx").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "value"))).alias("r"))
     width = len(ctxs)
-    rows = packed.rdd.map(lambda r: IndexedRow(r.i, Vectors.sparse(width, [x.j for x in r.r], [x.value for x in r.r])))
+    kind = StructType([StructField("index", LongType()), StructField("vector", VectorUDT())])
+    made = spark.createDataFrame(packed.rdd.map(lambda r: (r.i, Vectors.sparse(width, [x.j for x in r.r], [x.value for x in r.r]))), kind)
+    # Each step of the solver reads the rows: they are written as vectors once, so that it stays in the JVM, and held where there is room.
+    rows = materialize(made, "rows").persist()
     got = IndexedRowMatrix(rows, len(words), width).computeSVD(dimensions, computeU=True)
     s = got.s.toArray()
     v = got.V.toArray()
@@ -120,7 +125,8 @@ def svd(cells: DataFrame, dimensions: int, weight: float = 1.0, add_context_vect
     def row(r):
         return int(r.index), [float(x) * c if c else 0.0 for x, c in zip(r.vector.toArray(), scale)] + [0.0] * pad
 
-    left = spark.createDataFrame(got.U.rows.map(row), "i long, vec array<double>").join(wi, "i").select("word", "vec")
+    left = materialize(spark.createDataFrame(got.U.rows.map(row), "i long, vec array<double>").join(wi, "i").select("word", "vec"), "vectors")
+    rows.unpersist()
     if not add_context_vectors:
         return left
     power = weight if symmetric else 1 - weight

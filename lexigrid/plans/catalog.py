@@ -1,3 +1,8 @@
 """Registered queries and their SQL."""
-QUERIES: dict = {}
-ORACLE: dict = {}
+
+from __future__ import annotations
+
+from . import corpus_queries, vector_queries
+
+QUERIES: dict = {**corpus_queries.QUERIES, **vector_queries.QUERIES}
+ORACLE: dict = {**corpus_queries.ORACLE, **vector_queries.ORACLE}
