@@ -79,29 +79,35 @@ def slices(batches, text: str, limit: int = SLICE_BYTES):
             start = end
 
 
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of marked bytes; a text's border ends a run."""
+    n = len(inside)
+    if n == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    start, end = inside.copy(), inside.copy()
+    start[1:] &= ~inside[:-1] | edge[1:n]
+    end[:-1] &= ~inside[1:] | edge[1:n]
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of parts of the buffer."""
+    p, inv = _powers(len(data) + 1)
+    total = np.empty(len(data) + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(_TABLE[data] * p[: len(data)], out=total[1:])
+    return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+
+
 def words(data: np.ndarray, offsets: np.ndarray):
     """Hashes of the words (ASCII letters lowered, other bytes kept; runs of other ASCII separate) and their n+1 row offsets."""
     if len(data) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     low = _LOWER[data]
-    inside = _WORD[low]
-    first = np.zeros(len(data), bool)
-    first[offsets[:-1][offsets[:-1] < len(data)]] = True
-    before = np.empty(len(data), bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    before[first] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.empty(len(data), bool)
-    after[-1] = True
-    after[:-1] = ~inside[1:] | first[1:]
-    ends = np.flatnonzero(inside & after) + 1
-    p, inv = _powers(len(data))
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_TABLE[low] * p, out=total[1:])
-    h = mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
-    return h, np.searchsorted(starts, offsets)
+    starts, ends = runs(_WORD[low], offsets)
+    return hashes(low, starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingles(h: np.ndarray, rows: np.ndarray, n: int):
