@@ -6,6 +6,7 @@ over Arrow batches where a runtime for them is installed.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
@@ -26,7 +27,9 @@ def unicode_form(text: Column, form: str) -> Column:
 
     @F.arrow_udf("string")
     def normal(a: pa.Array) -> pa.Array:
-        return pc.utf8_normalize(a, form)
+        # ASCII is its own normal form, so only other texts are touched.
+        wide = pc.invert(pc.fill_null(pc.string_is_ascii(a), True))
+        return pc.replace_with_mask(a, wide, pa.array([unicodedata.normalize(form, x) for x in a.filter(wide).to_pylist()], a.type))
 
     return normal(text)
 

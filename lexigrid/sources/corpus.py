@@ -26,8 +26,8 @@ Reader = Callable[[SparkSession, str], DataFrame]
 
 
 def _files(spark: SparkSession, path: str, whole: bool) -> DataFrame:
-    r = spark.read.option("wholetext", str(whole).lower()).option("recursiveFileLookup", "true").option("pathGlobFilter", "[!.]*")
-    return r.text(path).select(F.col("_metadata.file_path").alias("doc_id"), "value")
+    r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "[!.]*")
+    return r.text(path, wholetext=whole).select(F.col("_metadata.file_path").alias("doc_id"), "value")
 
 
 def _numbered(docs: DataFrame, lines: Column) -> DataFrame:

@@ -81,7 +81,7 @@ def save_vocabulary(vocab: DataFrame, path: str, **params) -> None:
 
 def load_vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """``(word, idx)`` in the file's order, and the parameters."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("at", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("at", "line"))
     first = lines.where("at = 0").first()
     if first is None:
         raise ResourceNotFound(path)
