@@ -245,9 +245,18 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
 
 
 def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on the ``SAMPLE_DOCS`` texts with evidence that have the lowest hash of their id; with none, on the seed examples."""
-    rows = docs.where(F.col(text_col).rlike("[0-9@]") & (F.octet_length(text_col) <= SAMPLE_TEXT)).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"))
-    return fit([r.t for r in rows.orderBy("h", "t").limit(SAMPLE_DOCS).collect()])
+    """Fit on the ``SAMPLE_DOCS`` texts with evidence that have the lowest hash of their id; with none, on the seed examples.
+
+    Tasks send ids only; the chosen rows' texts, at most ``SAMPLE_TEXT`` bytes
+    each, are read by a second look.  Rows without an id don't take part.
+    """
+    fit_for = F.col(text_col).rlike("[0-9@]") & (F.octet_length(text_col) <= SAMPLE_TEXT) & F.col(id_col).isNotNull()
+    ids = docs.where(fit_for).select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i")).distinct().orderBy("h", "i").limit(SAMPLE_DOCS)
+    picked = [r.i for r in ids.collect()]
+    if not picked:
+        return fit([])
+    rows = docs.where(F.col(id_col).isin(picked)).where(fit_for).select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t")).collect()
+    return fit([r.t for r in sorted(rows)[:SAMPLE_DOCS]])
 
 
 def _with_evidence(data: np.ndarray, o: np.ndarray) -> np.ndarray:
