@@ -1,0 +1,117 @@
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from lexigrid.llm import pii as P
+from tests.llm.conftest import rows
+
+MODEL = P.fit([])
+
+
+def found(text):
+    return [(text[a:b], name) for a, b, name in P.entities(text, MODEL)]
+
+
+@pytest.mark.parametrize(
+    "value, label",
+    [("jane.doe@mail.example.com", "EMAIL"), ("10.20.30.40", "IP"), ("4012888888881881", "CARD"), ("+1 (415) 555-0132", "PHONE"), ("9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "SECRET")],
+)
+def test_each_kind(value, label):
+    text = f"Some words before {value} and words after , section 3."
+    assert found(text) == [(value, label)]
+    assert value not in P.redact(text, P.entities(text, MODEL))
+
+
+def test_held_out_values():
+    r = random.Random(5)
+    right = total = 0
+    for _ in range(100):
+        values = [
+            (f"u{r.randrange(999)}.n{r.randrange(99)}@h{r.randrange(99)}.example.net", "EMAIL"),
+            (".".join(str(r.randrange(256)) for _ in range(4)), "IP"),
+            (f"+{r.randint(1, 99)} ({r.randint(100, 999)}) {r.randint(100, 999)}-{r.randint(1000, 9999)}", "PHONE"),
+            ("".join(r.choices("0123456789abcdef", k=40)), "SECRET"),
+        ]
+        r.shuffle(values)
+        text = " and then ".join(v for v, _ in values)
+        got = found(text)
+        total += len(values)
+        right += sum(v in got for v in values)
+    assert right >= 0.98 * total
+
+
+def test_clean_text_stays():
+    for text in ["Version 2.0 came in 1999 , page 12 of 300.", "1,000 people at 10:30 on the 3rd", "", "no numbers at all", "50% of 12.5 kg"]:
+        assert found(text) == []
+
+
+def exact(ts, model):
+    """Marginals by summing over all labellings."""
+    n, k = len(ts), len(P.LABELS)
+    unary = [model.weights[P.features(t)].sum(axis=0) for t in ts]
+    out = np.zeros((n, k))
+    for y in itertools.product(range(k), repeat=n):
+        s = sum(u[a] for u, a in zip(unary, y))
+        s += sum(model.transition[y[i - 1], y[i]] for i in range(1, n) if ts[i].index - ts[i - 1].index == 1)
+        s += sum(model.skip[kind] for i, j, kind in P.skips(ts) if y[i] == y[j])
+        for i, a in enumerate(y):
+            out[i, a] += np.exp(s)
+    return out / out.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("text", ["call (415) 555-0132 now", "10.0.0.1 then much later 10.0.0.1", "a1 b x 22 y 333-4444"])
+def test_messages_on_trees_are_exact(text):
+    ts = P.tokens(text)
+    assert np.allclose(P.marginals(ts, MODEL), exact(ts, MODEL), atol=2e-3)
+
+
+def test_loops_stay_near_the_exact_marginals():
+    ts = P.tokens("12345678 x 12345678 y 87654321 12345678")
+    assert np.abs(P.marginals(ts, MODEL) - exact(ts, MODEL)).max() < 0.1
+
+
+def test_skip_edges_raise_consistency():
+    """A token that by itself is unsure follows its distant repetition."""
+    w = np.zeros((P.N_FEATURES, len(P.LABELS)))
+    w[2, 1] = 6.0  # a whole address is surely an e-mail
+    weak = P.Model(w, np.zeros((6, 6)), (2.0, 0.0))
+    ts = P.tokens("x@y then z7 words x@y words x@y")
+    alone = P.marginals(ts, P.Model(w, np.zeros((6, 6)), (0.0, 0.0)))
+    w2 = w.copy()
+    w2[1, 1] = 0.4
+    tied = P.marginals(ts, P.Model(w2, np.zeros((6, 6)), (2.0, 0.0)))
+    single = P.marginals(ts, P.Model(w2, np.zeros((6, 6)), (0.0, 0.0)))
+    assert tied[0, 1] > single[0, 1] and np.allclose(alone[0], alone[2]) and weak.skip[0] == 2.0
+
+
+def test_very_long_text_with_many_repetitions():
+    text = " word ".join(["10.1.2.3"] * 3000)
+    assert len(P.entities(text, MODEL)) == 3000
+
+
+def test_find_and_mask(make, odd):
+    docs = make([(1, "mail a.b@c.example.org now"), (2, None), (3, ""), (None, "ip 10.0.0.1"), (1, "mail a.b@c.example.org now"), (4, "clean é 漢")])
+    got = P.find(docs, MODEL)
+    assert got.columns == ["doc_id", "text", "entities"]
+    text = {(r.doc_id, r.text, tuple((e.label, e.start, e.end) for e in r.entities)) for r in got.collect()}
+    assert text == {(1, "mail <EMAIL> now", (("EMAIL", 5, 22),)), (2, None, ()), (3, "", ()), (None, "ip <IP>", (("IP", 3, 11),)), (4, "clean é 漢", ())}
+    assert got.count() == 6
+    masked = P.mask(docs, MODEL)
+    assert masked.schema == docs.schema
+    assert rows(masked.select("doc_id", "text")) == rows(got.select("doc_id", "text"))
+    assert P.mask(odd, MODEL).count() == odd.count()
+
+
+def test_empty_table(empty):
+    model = P.fit_on(empty)
+    assert rows(P.find(empty, model)) == [] and P.mask(empty, model).count() == 0
+
+
+def test_whole_texts_of_the_driver(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = P.fit_on(docs)
+    for r, q in zip(docs.orderBy("doc_id").collect(), P.find(docs, model).orderBy("doc_id").collect()):
+        assert q.text == P.redact(r.text, P.entities(r.text, model))
+        assert not P._EMAIL.search(q.text)
