@@ -145,7 +145,8 @@ def next_sentence_pairs(docs: DataFrame, seed: int = 0, id_col: str = "doc_id",
 
     Blank lines end a document's part; a pair never crosses one.  The other
     line is the second of another pair, found by dealing all pairs into a ring
-    by a hash within buckets of hashes, so that no global order is needed.
+    by a hash within buckets of about a hundred documents' pairs, so that no
+    global order is needed.  A bucket's only pair keeps its own second.
     """
     at = lines(docs, False, id_col, text_col).withColumn("blank", (~F.col("line").rlike(r"\S")).cast("int"))
     w = Window.partitionBy(id_col).orderBy("line_id")
@@ -153,7 +154,8 @@ def next_sentence_pairs(docs: DataFrame, seed: int = 0, id_col: str = "doc_id",
     pw = Window.partitionBy(id_col, "part").orderBy("line_id")
     pairs = parts.select(id_col, F.col("part").cast("int").alias("part"), F.col("line_id").alias("at"), F.trim("line").alias("first"), F.trim(F.lead("line").over(pw)).alias("true")).where("true is not null")
     h = F.xxhash64(F.col(id_col), F.col("at"), F.lit(seed))
-    dealt = pairs.withColumn("_h", h).withColumn("_bucket", F.pmod("_h", F.lit(997)))
+    buckets = max(1, docs.count() // 100)
+    dealt = pairs.withColumn("_h", h).withColumn("_bucket", F.pmod("_h", F.lit(buckets)))
     ring = Window.partitionBy("_bucket").orderBy("_h", id_col, "at")
     other = F.coalesce(F.lead("true").over(ring), F.lag("true").over(ring))
     swap = (_uniform(seed + 1, id_col, "at") < 0.5) & other.isNotNull()
