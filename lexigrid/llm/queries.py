@@ -36,8 +36,8 @@ def op4_token_orc(spark: SparkSession, sf_dir: str, ranks_file: str = tokenorc.R
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.shared_dir(spark, "warc")
-    warc.write_records(warc.from_pages(_table(spark, sf_dir, "pages")), path)
-    captures = warc.assemble(warc.read_records(spark, path))
+    warc.write_records(warc.from_pages(_table(spark, sf_dir, "pages")), path, gzip=True)
+    captures = warc.assemble_files(spark, path)
     first = lambda c: F.decode(F.get(c, F.lit(0)).payload, "UTF-8")
     return captures.select(
         "capture_id",

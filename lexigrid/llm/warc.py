@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common as C
+
 SCHEMA = "record_id string, type string, concurrent_to array<string>, target_uri string, date string, content_type string, payload binary, truncated boolean"
 _ARROW = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("target_uri", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("payload", pa.binary()), ("truncated", pa.bool_())])
 END = "\r\n\r\n"
@@ -137,7 +139,7 @@ def _batches(rows):
     held, size = [], 0
     for r in rows:
         held.append(r)
-        size += len(r[6])
+        size += len(r[6] or b"")
         if size >= BATCH_BYTES:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
             held, size = [], 0
@@ -145,11 +147,20 @@ def _batches(rows):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
 
 
-def read_records(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
-    """The records of the WARC files under ``path`` as rows of ``SCHEMA``; files are spread over tasks and streamed there."""
+def read_records(spark: SparkSession, path: str, tasks: int | None = None, types: tuple[str, ...] | None = None, payloads: bool = True) -> DataFrame:
+    """The records of the WARC files under ``path`` as rows of ``SCHEMA``; files are spread over tasks and streamed there.
+
+    ``types``: only records of these.  Without ``payloads`` these are null, and
+    what leaves a worker is the headers' fields.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path")
     n = tasks or max(1, files.count())
 
+    def wanted(records):
+        for r in records:
+            if types is None or r[1] in types:
+                yield r if payloads else (*r[:6], None, r[7])
+
     def run(batches):
         from urllib.parse import unquote
 
@@ -162,11 +173,16 @@ def read_records(spark: SparkSession, path: str, tasks: int | None = None) -> Da
                 else:
                     system, at = fs.FileSystem.from_uri(uri)
                 with system.open_input_stream(at, compression=None) as f:
-                    yield from _batches(parse(f))
+                    yield from _batches(wanted(parse(f)))
 
     return files.repartition(n, "path").mapInArrow(run, SCHEMA)
 
 
+def assemble_files(spark: SparkSession, path: str) -> DataFrame:
+    """``assemble`` of the records under ``path``: the links are read without payloads, each payload once."""
+    return _assembled(read_records(spark, path, payloads=False), read_records(spark, path, types=("response",)), read_records(spark, path, types=("request", "metadata")))
+
+
 def assemble(records: DataFrame) -> DataFrame:
     """One row for each capture: ``(capture_id, target_uri, date, response, requests, metadata)``.
 
@@ -178,29 +194,39 @@ def assemble(records: DataFrame) -> DataFrame:
     they are empty where nothing belongs.  Repeated rows count once; of several
     responses with one id the first by payload is taken.  Records without an
     id, of another type, or of no capture don't appear.  A record that belongs
-    to several captures appears in each.
+    to several captures appears in each.  Columns beside ``SCHEMA``'s aren't
+    read; an empty table has no captures.
     """
+    rows = records.select(*_ARROW.names)
+    return _assembled(rows, rows.where("type = 'response'"), rows.where("type in ('request', 'metadata')"))
+
+
+def _assembled(headers: DataFrame, responses: DataFrame, others: DataFrame) -> DataFrame:
     body = F.struct("record_id", "content_type", "payload", "truncated")
-    rows = records.where("record_id is not null")
+    # Ids only, written once: all linking reads these.
+    rows = C.materialize(headers.where("record_id is not null and type in ('request', 'response', 'metadata')").groupBy("record_id", "type", "concurrent_to").agg(F.count(F.lit(1)).alias("n")), "warc-links")
     links = rows.where("size(concurrent_to) > 0").select("record_id", "type", F.explode("concurrent_to").alias("other")).where("other is not null")
-    # Ids only: undirected links, each end with its type.
-    types = rows.select(F.col("record_id").alias("other"), F.col("type").alias("other_type")).where("other_type in ('request', 'response', 'metadata')")
-    ends = links.where("type in ('request', 'response', 'metadata')").join(types, "other")
+    # Undirected links, each end with its type.
+    ends = links.join(rows.select(F.col("record_id").alias("other"), F.col("type").alias("other_type")).distinct(), "other")
     both = ends.select(F.col("record_id").alias("a"), F.col("type").alias("ta"), F.col("other").alias("b"), F.col("other_type").alias("tb"))
-    both = both.unionByName(both.selectExpr("b as a", "tb as ta", "a as b", "ta as tb")).distinct()
+    both = C.materialize(both.unionByName(both.selectExpr("b as a", "tb as ta", "a as b", "ta as tb")).distinct(), "warc-ends")
     direct = both.where("ta <> 'response' and tb = 'response'").selectExpr("a as record_id", "ta as type", "b as capture_id")
     hop = both.where("ta = 'metadata' and tb = 'request'").selectExpr("a as record_id", "b as via")
     far = hop.join(direct.where("type = 'request'").selectExpr("record_id as via", "capture_id"), "via").select("record_id", "capture_id")
-    member = direct.select("record_id", "capture_id").unionByName(far).distinct()
-    parts = rows.where("type in ('request', 'metadata')").join(member, "record_id").groupBy("capture_id").agg(
+    member = C.materialize(direct.select("record_id", "capture_id").unionByName(far).distinct(), "warc-members")
+    # What Spark takes for the size of rows out of a Python source says nothing, so it mustn't choose to broadcast them.
+    parts = others.where("record_id is not null").hint("merge").join(member.hint("merge"), "record_id").groupBy("capture_id").agg(
         F.array_sort(F.collect_set(F.when(F.col("type") == "request", body))).alias("requests"), F.array_sort(F.collect_set(F.when(F.col("type") == "metadata", body))).alias("metadata")
     )
-    heads = rows.where("type = 'response'").select(F.col("record_id").alias("capture_id"), "target_uri", "date", body.alias("response"))
-    # No aggregation carries payloads: a window over the id finds rows to drop, and ids are nearly unique.
-    w = F.row_number().over(_by("capture_id", F.col("response.payload"), F.col("target_uri"), F.col("date"), F.col("response.content_type")))
-    heads = heads.withColumn("n", w).where("n = 1").drop("n")
+    heads = responses.where("record_id is not null").select(F.col("record_id").alias("capture_id"), "target_uri", "date", body.alias("response"))
+    again = C.materialize(rows.where("type = 'response'").groupBy(F.col("record_id").alias("capture_id")).agg(F.sum("n").alias("n")).where("n > 1").select("capture_id"), "warc-repeated")
+    if not again.isEmpty():
+        # Only responses whose id occurs again are ordered, so payloads aren't sorted for the others' sake.
+        w = F.row_number().over(_by("capture_id", F.col("response.payload"), F.col("target_uri"), F.col("date"), F.col("response.content_type")))
+        one = C.only(heads, again, "capture_id", 96).withColumn("n", w).where("n = 1").drop("n")
+        heads = C.without(heads, again, "capture_id", 96).unionByName(one)
     none = F.array().cast(parts.schema["requests"].dataType)
-    return heads.join(parts, "capture_id", "left").select("capture_id", "target_uri", "date", "response", F.coalesce("requests", none).alias("requests"), F.coalesce("metadata", none).alias("metadata"))
+    return heads.hint("merge").join(parts.hint("merge"), "capture_id", "left").select("capture_id", "target_uri", "date", "response", F.coalesce("requests", none).alias("requests"), F.coalesce("metadata", none).alias("metadata"))
 
 
 def _by(key: str, *order):
