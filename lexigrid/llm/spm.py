@@ -34,7 +34,7 @@ from . import common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words of more characters are encoded in the workers (the lattice keeps borders as the bits of a long).
-LATTICE_CHARS = 62
+LATTICE_CHARS = 61
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 _UNSEEN_PENALTY = 10.0
@@ -138,8 +138,15 @@ def units(texts: pa.Array, table: np.ndarray, prefix: bool = True) -> tuple[pa.A
 
 
 def piece_table(spark: SparkSession, p: Pieces) -> DataFrame:
-    rows = [(s, i, float(x)) for i, (s, x, u) in enumerate(zip(p.pieces, p.scores, p.usable)) if u]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    """``(piece, id, score, rank)``: the best score has rank 0, equal scores share a rank."""
+    place = {x: k for k, x in enumerate(sorted({x for x, u in zip(p.scores, p.usable) if u}, reverse=True))}
+    rows = [(s, i, float(x), place[x]) for i, (s, x, u) in enumerate(zip(p.pieces, p.scores, p.usable)) if u]
+    return spark.createDataFrame(rows, "piece string, id int, score double, rank int")
+
+
+#: A BPE edge in a long, in the order of merging: rank, start, length, id + 1.
+_RANK, _START, _LENGTH = 40, 34, 28
+_LAST = (1 << 23) - 1
 
 
 def lattice(words: DataFrame, p: Pieces, carry: str | None = None) -> DataFrame:
@@ -155,23 +162,19 @@ def lattice(words: DataFrame, p: Pieces, carry: str | None = None) -> DataFrame:
     base = words.select("word", *have, F.translate("word", " ", SPACE).alias("u")).withColumn("n", F.length("u"))
     at = base.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
     sub = at.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(p.longest), F.col("n") - F.col("s")))).alias("l"))
-    sub = sub.withColumn("piece", F.substring("u", F.col("s") + 1, F.col("l")))
+    # One edge of a word carries; the others' rows stay short.
+    once = [F.when((F.col("s") == 0) & (F.col("l") == 1), F.col(carry)).alias(carry)] if carry else []
+    sub = sub.select("word", *once, "s", "l", F.substring("u", F.col("s") + 1, F.col("l")).alias("piece"))
     found = sub.join(F.broadcast(piece_table(spark, p)), "piece", "left").where("id is not null or l = 1")
-    score = F.coalesce("score", F.lit(low))
     if p.kind == BPE:
         # Single characters sort last: they are never merged into, only read off.
-        rank = F.when(F.col("l") == 1, F.lit(2.0**40)).otherwise(-score)
-        edge = F.struct(
-            rank.alias("rank"),
-            "s",
-            F.expr("shiftleft(1L, s) | shiftleft(1L, s + l)").alias("ends"),
-            F.expr("shiftleft(1L, s + l) - shiftleft(1L, s + 1)").alias("inner"),
-            F.coalesce("id", F.lit(-1)).alias("id"),
-        )
+        rank = F.when(F.col("l") == 1, F.lit(_LAST)).otherwise(F.col("rank")).cast("long")
+        edge = F.shiftleft(rank, _RANK).bitwiseOR(F.shiftleft(F.col("s").cast("long"), _START)).bitwiseOR(F.shiftleft(F.col("l").cast("long"), _LENGTH)).bitwiseOR(F.coalesce("id", F.lit(-1)).cast("long") + 1)
     else:
-        edge = F.struct((F.col("s") + F.col("l")).alias("e"), "s", score.alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    more = [F.first(F.when((F.col("s") == 0) & (F.col("l") == 1), F.col(carry)), ignorenulls=True).alias(carry)] if carry else []
-    return found.select("word", *have, "s", "l", edge.alias("edge")).groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"), *more).withColumn("u", F.translate("word", " ", SPACE)).withColumn("n", F.length("u"))
+        edge = F.struct((F.col("s") + F.col("l")).alias("e"), "s", F.coalesce("score", F.lit(low)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
+    more = [F.first(carry, ignorenulls=True).alias(carry)] if carry else []
+    out = found.select("word", *have, edge.alias("edge")).groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"), *more)
+    return out.withColumn("u", F.translate("word", " ", SPACE)).withColumn("n", F.length("u"))
 
 
 def _byte_ids(p: Pieces, ch: str) -> str:
@@ -183,14 +186,21 @@ def _byte_ids(p: Pieces, ch: str) -> str:
 
 def fold(grouped: DataFrame, p: Pieces) -> DataFrame:
     """``lattice`` with ``ids``: each word's piece ids, null where a BPE word has to be merged step by step."""
-    flat = f"flatten(transform(path, x -> if(x.id >= 0, array(x.id), {_byte_ids(p, 'substring(u, x.s + 1, 1)')})))"
     if p.kind == BPE:
         # Bit i of the accumulator: there is a border before character i.
-        merged = "aggregate(slice(edges, 1, size(edges) - n), shiftleft(1L, n + 1) - 1, (acc, e) -> if((acc & e.ends) = e.ends and bit_count(acc & e.inner) = 1, acc & ~e.inner, acc))"
-        out = grouped.withColumn("acc", F.expr(merged))
-        path = "array_sort(transform(filter(edges, e -> (acc & e.ends) = e.ends and (acc & e.inner) = 0L), e -> named_struct('s', e.s, 'id', e.id)))"
-        left = "exists(edges, e -> (acc & e.ends) = e.ends and bit_count(acc & e.inner) = 1)"
-        return out.withColumn("path", F.expr(path)).withColumn("ids", F.expr(f"if({left}, null, {flat})")).drop("acc", "path", "edges")
+        start, length = f"cast(shiftright(e, {_START}) & 63 as int)", f"cast(shiftright(e, {_LENGTH}) & 63 as int)"
+        ends = f"(shiftleft(shiftleft(1L, {length}) | 1L, {start}))"
+        inner = f"(shiftleft(shiftleft(1L, {length}) - 2L, {start}))"
+        merged = f"aggregate(slice(edges, 1, size(edges) - n), shiftleft(1L, n + 1) - 1, (acc, e) -> if((acc & {ends}) = {ends} and bit_count(acc & {inner}) = 1, acc & ~{inner}, acc))"
+        # Edges whose ends are borders with none between are the word's pieces; by start, then id + 1.
+        kept = f"array_sort(transform(filter(edges, e -> (acc & ({ends} | {inner})) = {ends}), e -> shiftleft(shiftright(e, {_START}) & 63, 32) | (e & {(1 << _LENGTH) - 1})))"
+        left = f"exists(slice(edges, 1, size(edges) - n), e -> (acc & {ends}) = {ends} and bit_count(acc & {inner}) = 1)"
+        unknown = _byte_ids(p, "substring(u, cast(shiftright(x, 32) as int) + 1, 1)")
+        one = "cast(x & 4294967295 as int) - 1"
+        ids = f"if(exists(path, x -> (x & 4294967295) = 0), flatten(transform(path, x -> if((x & 4294967295) > 0, array({one}), {unknown}))), transform(path, x -> {one}))"
+        out = grouped.withColumn("acc", F.expr(merged)).withColumn("path", F.expr(kept)).withColumn("left", F.expr(left))
+        return out.withColumn("ids", F.expr(f"if(left, null, {ids})")).drop("acc", "path", "edges", "left")
+    flat = f"flatten(transform(path, x -> if(x.id >= 0, array(x.id), {_byte_ids(p, 'substring(u, x.s + 1, 1)')})))"
     # best[k]: score of the best path to border k, its last edge's start and id; edges come by end, then start.
     better = "element_at(acc, e.s + 1).score + e.score"
     step = (
@@ -292,11 +302,14 @@ def encode(docs: DataFrame, p: Pieces, id_col: str = "doc_id", text_col: str = "
                 u = pc.unique(pa.concat_arrays(seen))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), key)), u], ["f", "word"])
 
-    # One exchange by word serves the grouping, the lattice and its folding.
-    found = slim.mapInArrow(words, "f long, word string").groupBy("word").agg(F.collect_set("f").alias("fs"))
+    # One exchange by word serves the grouping, the lattice and its folding.  A word is some bytes here and dozens of
+    # edges later, so the number of tasks is the session's and isn't made smaller for the bytes.
+    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = slim.mapInArrow(words, "f long, word string").repartition(n_tasks, "word").groupBy("word").agg(F.collect_set("f").alias("fs"))
     short = fold(lattice(found.where(F.length("word") <= LATTICE_CHARS), p, "fs"), p)
     where = C.shared_dir(spark, "dictionaries")
-    rows = short.where("ids is not null").select(F.explode("fs").alias("f"), "word", "ids")
+    # Words without ids are dropped by the readers: a filter here would have the fold computed twice.
+    rows = short.select(F.explode("fs").alias("f"), "word", "ids")
     # sorted by file within a task, so that a task writes one dictionary after the other
     rows.repartition("f").sortWithinPartitions("f").write.partitionBy("f").parquet(where)
     ranks = {s: (i, x) for i, (s, x, u) in enumerate(zip(p.pieces, p.scores, p.usable)) if u}
@@ -349,6 +362,7 @@ def _dictionary(where: str, key: int):
     at = f"{at}/f={key}"
     infos = system.get_file_info(fs.FileSelector(at, allow_not_found=True))
     parts = [pq.read_table(i.path, filesystem=system, columns=["word", "ids"]) for i in infos if i.path.endswith(".parquet")]
+    parts = [t.filter(pc.is_valid(t.column("ids"))) for t in parts]
     t = pa.concat_tables(parts).combine_chunks() if parts else pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
     ids = pa.concat_arrays(t.column("ids").chunks) if t.num_rows else pa.array([], pa.list_(pa.int32()))
     return t.column("word"), ids.values.to_numpy().astype(np.int32), ids.offsets.to_numpy().astype(np.int64) if t.num_rows else np.zeros(1, np.int64)
