@@ -38,6 +38,8 @@ LATTICE_CHARS = 61
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 _UNSEEN_PENALTY = 10.0
+#: Bytes of the texts that a worker encodes at a time; its largest temporary arrays have eight times as many.
+SLICE_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -129,7 +131,8 @@ def units(texts: pa.Array, table: np.ndarray, prefix: bool = True) -> tuple[pa.A
         return pa.array([], pa.string()), np.zeros(len(o), np.int64)
     start = np.zeros(len(d), bool)
     start[o[:-1][o[:-1] < len(d)]] = True
-    start[1:] |= ~table[d[:-1], d[1:]] & ((d[1:] < 128) | (d[1:] >= 192))
+    pair = d[:-1].astype(np.uint16) << np.uint16(8) | d[1:]
+    start[1:] |= ~table.ravel().take(pair) & ((d[1:] < 128) | (d[1:] >= 192))
     space = d == 32
     start[1:] |= space[1:] & ~space[:-1] & ~table[d[:-1], 32]
     s = np.flatnonzero(start)
@@ -295,10 +298,8 @@ def encode(docs: DataFrame, p: Pieces, id_col: str = "doc_id", text_col: str = "
 
     def words(batches):
         for b in batches:
-            f = A.column(b, "f")
-            for key in pc.unique(f).to_pylist():
-                part = b.filter(pc.equal(f, key))
-                seen = [pc.unique(units(A.column(s, "text"), table, prefix)[0]) for s in A.slices([part], "text", 16 << 20)]
+            for key, part in _by_file(b):
+                seen = [pc.unique(units(A.column(s, "text"), table, prefix)[0]) for s in A.slices([part], "text", SLICE_BYTES)]
                 u = pc.unique(pa.concat_arrays(seen))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), key)), u], ["f", "word"])
 
@@ -320,12 +321,11 @@ def encode(docs: DataFrame, p: Pieces, id_col: str = "doc_id", text_col: str = "
         alone = merge_steps if model.kind == BPE else best_path
         held: dict = {}
         for b in batches:
-            f = A.column(b, "f")
-            for key in pc.unique(f).to_pylist():
+            for key, part in _by_file(b):
                 if key not in held:
                     held = {key: _dictionary(where, key)}
                 dict_words, values, offsets = held[key]
-                for s in A.slices([b.filter(pc.equal(f, key))], "text", 16 << 20):
+                for s in A.slices([part], "text", SLICE_BYTES):
                     text = A.column(s, "text")
                     u, r = units(text, table, prefix)
                     code = pc.dictionary_encode(u)
@@ -348,6 +348,14 @@ def encode(docs: DataFrame, p: Pieces, id_col: str = "doc_id", text_col: str = "
     return out.withColumnRenamed("id", id_col)
 
 
+def _by_file(batch: pa.RecordBatch):
+    """``(file, its rows)``; a batch of one file, the usual case, isn't copied."""
+    f = A.column(batch, "f")
+    keys = pc.unique(f).to_pylist()
+    for key in keys:
+        yield key, batch if len(keys) == 1 else batch.filter(pc.equal(f, key))
+
+
 def _dictionary(where: str, key: int):
     """Words, ids and offsets of one file's dictionary."""
     import re
