@@ -1,8 +1,9 @@
 """Personal data and secrets by a skip-chain conditional random field.
 
-Nodes are the whitespace tokens with some evidence (a digit, an ``@``); all
-others are outside entities by construction, so whole texts are read but only
-evidence is labelled.  Neighbouring nodes share a transition potential.  Skip
+Nodes are the pattern matches in whitespace tokens with some evidence (a digit,
+an ``@``), and the rests of these tokens that have evidence; all other text is
+outside entities by construction, so whole texts are read but only evidence is
+labelled.  Neighbouring nodes share a transition potential.  Skip
 edges join a token to the next occurrence, however distant, of the same string
 or of the same shape in the document, with a potential that favours one label
 for both.  Marginals come from loopy sum-product message passing over each
@@ -35,6 +36,9 @@ _CARD = re.compile(r"(?<!\d)\d{13,19}(?!\d)")
 _LOCAL = re.compile(r"(?<!\d)\d{3}[-.]\d{4}(?!\d)")
 _FULL = re.compile(r"(?:\+\d{1,3}[-.]?)?\(?\d{3}\)?[-.]\d{3}[-.]\d{4}(?!\d)")
 _AREA, _COUNTRY = re.compile(r"\(\d{3}\)"), re.compile(r"\+\d{1,3}(?!\d)")
+_CORES = (_EMAIL, _FULL, _IP, _HEX, _CARD, _LOCAL, _AREA, _COUNTRY)
+_EVIDENT, _REST = re.compile("[0-9@]"), re.compile(r"[\w+(@].*[\w)]|[\w@]")
+_GLUE = ("", "-", ".", "/")
 
 #: Examples of every label, so that a label without a case in the sample has weights too.
 SEEDS = (
@@ -56,27 +60,45 @@ class Token:
     index: int
 
 
-def core_span(raw: str) -> tuple[int, int]:
-    """The part of a token that an entity would cover: an e-mail address, number or key without what is glued around it."""
-    for p in (_EMAIL, _FULL, _IP, _HEX, _CARD, _LOCAL, _AREA, _COUNTRY):
-        if m := p.search(raw):
-            return m.span()
-    m = re.search(r"[\w+(@].*[\w)]|[\w@]", raw)
-    return m.span() if m else (0, len(raw))
+def cores(raw: str) -> list[tuple[int, int]]:
+    """The parts of a token that entities would cover: every e-mail address, number and key in it, and what evidence lies between them."""
+    free, out = [(0, len(raw))], []
+    for p in _CORES:
+        if p is _EMAIL and "@" not in raw:
+            continue
+        left = []
+        for a, b in free:
+            for m in p.finditer(raw, a, b):
+                out.append(m.span())
+                if m.start() > a:
+                    left.append((a, m.start()))
+                a = m.end()
+            if a < b:
+                left.append((a, b))
+        free = left
+    for a, b in free:
+        if _EVIDENT.search(raw, a, b):
+            m = _REST.search(raw, a, b)
+            out.append(m.span() if m else (a, b))
+    return sorted(out)
 
 
 def tokens(text: str) -> list[Token]:
-    """The tokens with evidence; ``index`` counts the evidence run: neighbours differ by 1, others by more."""
+    """The nodes, at least one for each token with evidence; ``index`` counts the evidence run: neighbours differ by 1, others by more.
+
+    Nodes of one token are neighbours if at most a ``-``, ``.`` or ``/`` is between them.
+    """
     out, at, last = [], 0, -1
     for m in _EVIDENCE.finditer(text):
-        a, b = core_span(m.group())
-        a, b = m.start() + a, m.start() + b
-        at += 1 if last >= 0 and not text[last : m.start()].strip() else 2
-        core = text[a:b]
-        shape = re.sub(r"[A-Za-z]+", "a", re.sub(r"[^\x00-\x7f]+", "u", re.sub(r"\d", "9", core)))
-        if len(core) >= 24 and _HEX.fullmatch(core):
-            shape = f"hex{len(core)}"
-        out.append(Token(a, b, core, shape, at))
+        for k, (a, b) in enumerate(cores(m.group())):
+            a, b = m.start() + a, m.start() + b
+            near = text[out[-1].end : a] in _GLUE if k else last >= 0 and not text[last : m.start()].strip()
+            at += 1 if near else 2
+            core = text[a:b]
+            shape = re.sub(r"[A-Za-z]+", "a", re.sub(r"[^\x00-\x7f]+", "u", re.sub(r"\d", "9", core)))
+            if len(core) >= 24 and _HEX.fullmatch(core):
+                shape = f"hex{len(core)}"
+            out.append(Token(a, b, core, shape, at))
         last = m.end()
     return out
 

@@ -42,6 +42,26 @@ def test_held_out_values():
     assert right >= 0.98 * total
 
 
+@pytest.mark.parametrize(
+    "text, values",
+    [
+        ("ann@x.com,bob@y.org", [("ann@x.com", "EMAIL"), ("bob@y.org", "EMAIL")]),
+        ('<a href="mailto:ann@x.com">bob@y.org</a>', [("ann@x.com", "EMAIL"), ("bob@y.org", "EMAIL")]),
+        ("10.0.0.1,10.0.0.2", [("10.0.0.1", "IP"), ("10.0.0.2", "IP")]),
+        ("log ann@x.com|10.0.0.1|4012888888881881 end", [("ann@x.com", "EMAIL"), ("10.0.0.1", "IP"), ("4012888888881881", "CARD")]),
+        ('{"a":"415-555-0199","b":"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b","c":7}', [("415-555-0199", "PHONE"), ("9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "SECRET")]),
+        ("+1(415)555-0132,+1(415)555-0133", [("+1(415)555-0132", "PHONE"), ("+1(415)555-0133", "PHONE")]),
+    ],
+)
+def test_several_entities_in_one_token(text, values):
+    assert found(text) == values
+
+
+def test_long_text_without_spaces():
+    text = "漢字ann@x.com,10.1.2.3;".replace("漢字", "漢字，") * 2000
+    assert [n for _, _, n in P.entities(text, MODEL)] == ["EMAIL", "IP"] * 2000
+
+
 def test_clean_text_stays():
     for text in ["Version 2.0 came in 1999 , page 12 of 300.", "1,000 people at 10:30 on the 3rd", "", "no numbers at all", "50% of 12.5 kg"]:
         assert found(text) == []
