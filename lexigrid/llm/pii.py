@@ -1,6 +1,6 @@
 """Personal data and secrets by a skip-chain conditional random field.
 
-Nodes are the pattern matches in whitespace tokens with some evidence (a digit,
+Nodes are card and telephone numbers in groups and the pattern matches in whitespace tokens with some evidence (a digit,
 an ``@``), and the rests of these tokens that have evidence; all other text is
 outside entities by construction, so whole texts are read but only evidence is
 labelled.  Neighbouring nodes share a transition potential.  Skip
@@ -39,6 +39,11 @@ _AREA, _COUNTRY = re.compile(r"\(\d{3}\)"), re.compile(r"\+\d{1,3}(?!\d)")
 _CORES = (_EMAIL, _FULL, _IP, _HEX, _CARD, _LOCAL, _AREA, _COUNTRY)
 _EVIDENT, _REST = re.compile("[0-9@]"), re.compile(r"[\w+(@].*[\w)]|[\w@]")
 _GLUE = ("", "-", ".", "/")
+#: Digits in groups, also over several whitespace tokens, and numbers that start with ``+``; not a part of a word, key, decimal or address.
+_GROUP = r"(?:\(\d{1,5}\)[ \u00a0\u202f-]?)?\d{1,15}"
+_RUN = re.compile(rf"(?<![A-Za-z0-9_@%+-])(?<!\d\.)(?:\+\d{{8,15}}|\+?{_GROUP}(?:[ \u00a0\u202f-]\+?{_GROUP})+|\+?\(\d{{1,5}}\)[ \u00a0\u202f-]?\d{{1,15}})(?![A-Za-z0-9_@%]|[-.]\w)")
+_PART, _APART = re.compile(r"\+?(?:\(\d+\)|\d+)"), re.compile(r"(?:\+\d{1,3} )?\(\d{3}\) \d{3}[-.]\d{4}(?!\d)")
+_CARD_GROUPS = ((4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4))
 
 #: Examples of every label, so that a label without a case in the sample has weights too.
 SEEDS = (
@@ -46,6 +51,9 @@ SEEDS = (
     "call +1 (415) 555-0132 or +44 (020) 555-9876 or 415-555-0199 , +49 (030) 555-1234",
     "from 10.20.30.40 to 192.168.1.254 via 8.8.8.8",
     "card 4012888888881881 or 5105105105105100 or 371449635398431",
+    "card 4012 8888 8888 1881 or 5105-1051-0510-5100 or 3714 496353 98431",
+    "call 415 555 0132 or (415) 555 0199 or +44 20 7946 0958 or +33 1 23 45 67 89 or 020 7946 0958 , +14155550132",
+    "rows 12 300 4500 7 and 1999 2000 2001 2002 and 01-02-2024 or 2024-01-02 , 100 200 300",
     'key "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" and "E3B0C44298FC1C149AFBF4C8996FB92427AE41E4"',
     "license, version 3. in 1999 and 2.0. on page 12, 4.0. of 7 items at 10:30 for 25 users, 3.14 or 1,000 or 50% of no. 8",
 )
@@ -60,6 +68,73 @@ class Token:
     index: int
 
 
+def _luhn(digits: str) -> bool:
+    back = [int(x) for x in reversed(digits)]
+    return (sum(back[::2]) + sum(sum(divmod(2 * x, 10)) for x in back[1::2])) % 10 == 0
+
+
+def _reach(parts: list[str], seps: list[str], i: int) -> tuple[int, str] | None:
+    """``(end, label)`` of the card or telephone number in groups ``parts[i:end]``; ``seps[k]`` is before ``parts[k]``.
+
+    A card has its issuers' first digits, and the usual groups or a valid check
+    digit.  A telephone number is international (``+`` or ``00``, then as many
+    groups as the 15 digits of such numbers let it have), American (3-3-4), or
+    national with a leading 0 (10 or 11 digits).
+    """
+    digits = [re.sub(r"\D", "", x) for x in parts[i : i + 12]]
+    total = np.cumsum([len(x) for x in digits]).tolist()
+    one = digits[0]
+    even = 1  # groups with the same separator between them
+    while even < len(digits) and seps[i + even] == seps[i + 1]:
+        even += 1
+    new = next((k for k in range(1, len(digits)) if parts[i + k][0] == "+"), len(digits))
+    zeros = 0 if parts[i][0] == "+" else 2 if re.match(r"00[1-9]", one) and new > 1 and digits[1][0] != "0" else None
+    if zeros is not None:
+        most = zeros + (11 if one[zeros:].startswith("1") else 15)
+        ends = [k for k in range(1, new + 1) if total[k - 1] <= most and (total[k - 1] == most or most != zeros + 11) and total[k - 1] >= zeros + 8]
+        return (i + ends[-1], "PHONE") if ends else None
+    if one == parts[i] and len(one) >= 4 and (one[0] in "3456" or 2221 <= int(one[:4]) <= 2720):
+        for k in range(min(even, 5, new), 1, -1):
+            sizes = tuple(map(len, digits[:k]))
+            if 13 <= total[k - 1] <= 19 and parts[i : i + k] == digits[:k] and all(4 <= n <= 6 for n in sizes[:-1]) and (sizes in _CARD_GROUPS or _luhn("".join(digits[:k]))):
+                return i + k, "CARD"
+    k = 1 if one == parts[i] == "1" else 0
+    if new >= k + 3 and [len(x) for x in digits[k : k + 3]] == [3, 3, 4] and digits[k][0] > "1" and digits[k + 1][0] > "1":
+        return i + k + 3, "PHONE"
+    if one[0] == "0" and 2 <= len(one) <= 5 and one[1] != "0" and [len(x) for x in digits[:3]] != [2, 2, 4]:
+        ends = [k for k in range(2, min(even, new) + 1) if 10 <= total[k - 1] <= 11 and all(len(x) > 1 for x in digits[:k])]
+        return (i + ends[-1], "PHONE") if ends else None
+    return None
+
+
+def grouped(text: str) -> list[tuple[int, int, str]]:
+    """``(start, end, label)`` of the card and telephone numbers in groups, but for the forms that ``cores`` and ``strict`` find."""
+    out = []
+    for run in _RUN.finditer(text):
+        found = list(_PART.finditer(text, *run.span()))
+        parts = [m.group() for m in found]
+        seps = [text[x.end() : y.start()] for x, y in zip([found[0], *found], found)]
+        i = 0
+        while i < len(parts):
+            a = found[i].start()
+            if m := _APART.match(text, a):
+                i += sum(x.start() < m.end() for x in found[i : i + 4])
+            elif got := _reach(parts, seps, i):
+                i, label = got
+                b = found[i - 1].end()
+                if not _FULL.fullmatch(text, a, b):
+                    out.append((a, b, label))
+            else:
+                i += 1
+    return out
+
+
+def _form(core: str) -> str | None:
+    """The label of a core that is one number in groups."""
+    got = grouped(core) if core[:1] in "+(" or core[:1].isdigit() else []
+    return got[0][2] if got and got[0][:2] == (0, len(core)) else None
+
+
 def cores(raw: str) -> list[tuple[int, int]]:
     """The parts of a token that entities would cover: every e-mail address, number and key in it, and what evidence lies between them."""
     free, out = [(0, len(raw))], []
@@ -84,22 +159,30 @@ def cores(raw: str) -> list[tuple[int, int]]:
 
 
 def tokens(text: str) -> list[Token]:
-    """The nodes, at least one for each token with evidence; ``index`` counts the evidence run: neighbours differ by 1, others by more.
+    """The nodes: numbers in groups, and at least one for each other token with evidence; ``index`` counts the evidence run: neighbours differ by 1, others by more.
 
     Nodes of one token are neighbours if at most a ``-``, ``.`` or ``/`` is between them.
     """
-    out, at, last = [], 0, -1
-    for m in _EVIDENCE.finditer(text):
-        for k, (a, b) in enumerate(cores(m.group())):
-            a, b = m.start() + a, m.start() + b
-            near = text[out[-1].end : a] in _GLUE if k else last >= 0 and not text[last : m.start()].strip()
-            at += 1 if near else 2
-            core = text[a:b]
-            shape = re.sub(r"[A-Za-z]+", "a", re.sub(r"[^\x00-\x7f]+", "u", re.sub(r"\d", "9", core)))
-            if len(core) >= 24 and _HEX.fullmatch(core):
-                shape = f"hex{len(core)}"
-            out.append(Token(a, b, core, shape, at))
-        last = m.end()
+    spans, last = [], -1  # (start, end, whether the node before is a neighbour)
+    at = 0
+    for x, y in [*((a, b) for a, b, _ in grouped(text)), (len(text), None)]:
+        for m in _EVIDENCE.finditer(text, at, x):
+            for k, (a, b) in enumerate(cores(m.group())):
+                a, b = m.start() + a, m.start() + b
+                near = text[spans[-1][1] : a] in _GLUE if k else last >= 0 and not text[last : m.start()].strip()
+                spans.append((a, b, near))
+            last = m.end()
+        if y is not None:
+            spans.append((x, y, last >= 0 and not text[last:x].strip()))
+            at = last = y
+    out, at = [], 0
+    for a, b, near in spans:
+        at += 1 if near else 2
+        core = text[a:b]
+        shape = re.sub(r"[A-Za-z]+", "a", re.sub(r"[^\x00-\x7f]+", "u", re.sub(r"\d", "9", core)))
+        if len(core) >= 24 and _HEX.fullmatch(core):
+            shape = f"hex{len(core)}"
+        out.append(Token(a, b, core, shape, at))
     return out
 
 
@@ -107,6 +190,7 @@ def features(t: Token) -> list[int]:
     """Indices of the binary features that hold for a token."""
     c = t.core
     digits = sum(x.isdigit() for x in c)
+    form = _form(c)
     tests = (
         True,
         "@" in c,
@@ -126,12 +210,14 @@ def features(t: Token) -> list[int]:
         "." in c,
         any(x.isalpha() for x in c),
         len(c) >= 24,
+        form == "CARD",
+        form == "PHONE",
     )
     return [i for i, x in enumerate(tests) if x]
 
 
-N_FEATURES = 18
-_STRICT = ((2, "EMAIL"), (3, "IP"), (5, "SECRET"), (6, "CARD"), (8, "PHONE"))
+N_FEATURES = 20
+_STRICT = ((2, "EMAIL"), (3, "IP"), (5, "SECRET"), (6, "CARD"), (8, "PHONE"), (18, "CARD"), (19, "PHONE"))
 
 
 def strict(ts: list[Token]) -> list[int]:
@@ -239,7 +325,8 @@ def marginals(ts: list[Token], model: Model) -> np.ndarray:
 
 
 def entities(text: str, model: Model) -> list[tuple[int, int, str]]:
-    """``(start, end, label)`` in characters; neighbouring phone tokens make one entity."""
+    """``(start, end, label)`` in characters; neighbouring parts of a phone number make one entity."""
+    whole = lambda t: _FULL.fullmatch(t.core) or _form(t.core)
     ts = tokens(text)
     if not ts:
         return []
@@ -248,7 +335,7 @@ def entities(text: str, model: Model) -> list[tuple[int, int, str]]:
     for t, y in zip(ts, marginals(ts, model).argmax(axis=1)):
         if y:
             name = LABELS[y]
-            if name == "PHONE" and last is not None and out[-1][2] == name and t.index - last.index == 1:
+            if name == "PHONE" and last is not None and out[-1][2] == name and t.index - last.index == 1 and not whole(t) and not whole(last):
                 out[-1] = (out[-1][0], t.end, name)
             else:
                 out.append((t.start, t.end, name))

@@ -57,6 +57,29 @@ def test_several_entities_in_one_token(text, values):
     assert found(text) == values
 
 
+@pytest.mark.parametrize(
+    "value, label",
+    [
+        *((x, "CARD") for x in ("4012 8888 8888 1881", "5105-1051-0510-5100", "3714 496353 98431", "6011 1111 1111 1117", "2223 0000 4841 0010")),
+        *((x, "PHONE") for x in ("415 555 0132", "1 415 555 0132", "(415) 555 0132", "415 555-0132", "+1 415 555 0132", "+44 20 7946 0958", "+33 1 23 45 67 89", "+44 (20) 7946 0958", "+44 (0)20 7946 0958", "0044 20 7946 0958", "020 7946 0958", "01 23 45 67 89", "07700 900123", "+442079460958")),
+    ],
+)
+def test_numbers_in_groups(value, label):
+    assert found(f"Some words before {value} and words after , section 3.") == [(value, label)]
+    assert found(f"a,({value}),b") == [(value, label)]
+    assert found(f"{value}, {value} and ann@x.com") == [(value, label), (value, label), ("ann@x.com", "EMAIL")]
+
+
+def test_numbers_in_groups_side_by_side():
+    assert found("415 555 0132 415 555 0133 4012 8888 8888 1881 12/27") == [("415 555 0132", "PHONE"), ("415 555 0133", "PHONE"), ("4012 8888 8888 1881", "CARD")]
+    assert found("+1 (415) 555-0132 or (020) 555-9876") == [("+1 (415) 555-0132", "PHONE"), ("(020) 555-9876", "PHONE")]
+
+
+def test_other_numbers_in_groups_stay():
+    for text in ["in 1999 2000 2001 2002 2003", "2021 2022 2023 2024", "01-02-2024 10:30", "2024-01-02", "01 02 2024 15", "100 200 300 400", "001 002 003 004", "12 300 4500 7 10 11", "3.415 555 01"]:
+        assert found(text) == [], text
+
+
 def test_long_text_without_spaces():
     text = "漢字ann@x.com,10.1.2.3;".replace("漢字", "漢字，") * 2000
     assert [n for _, _, n in P.entities(text, MODEL)] == ["EMAIL", "IP"] * 2000
