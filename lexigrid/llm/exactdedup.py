@@ -133,11 +133,18 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     same = verified(docs, id_col, text_col)
     lowest = same.groupBy("recipe").agg(F.min("id").alias("kept_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    marked = C.materialize(same.join(lowest, "recipe").groupBy("id").agg(F.max(F.col("id") == F.col("kept_id")).alias("first"), F.max(F.col("id") != F.col("kept_id")).alias("later"), F.sum((F.col("id") == F.col("kept_id")).cast("int")).alias("n")), "marked")
-    plain = C.materialize(marked.where("later and not first").select(F.col("id").alias(id_col)), "later")
+    marked = same.join(lowest, "recipe").groupBy("id").agg(F.max(F.col("id") == F.col("kept_id")).alias("first"), F.max(F.col("id") != F.col("kept_id")).alias("later"), F.count(F.lit(1)).alias("n"))
+    marked = C.materialize(marked, "marked")
+    n, shared = C.fresh(docs, "n"), C.fresh(docs, "shared")
+    later = C.materialize(marked.where("later and not first").select(F.col("id").alias(id_col), F.col("n").alias(shared)), "later")
+    # A later id goes by its id alone only if copies are all its rows: rows are counted without their texts.
+    ids = C.materialize(later.select(id_col), "later-ids")
+    rows = C.only(docs.select(id_col), ids, id_col).groupBy(id_col).agg(F.count(F.lit(1)).alias(n))
+    more = C.materialize(rows.join(later, id_col).where(F.col(n) > F.col(shared)).select(id_col), "more")
+    plain = C.materialize(C.without(ids, more, id_col), "plain")
     rest = C.without(docs, plain, id_col)
-    # An id with repeated rows, or with copied texts of both kinds: these few rows are settled by their texts.
-    odd = C.materialize(marked.where("first and (later or n > 1)").select(F.col("id").alias(id_col)), "odd")
+    # An id with repeated rows, with copied texts of both kinds, or with copies and other rows: these few rows are settled by their texts.
+    odd = C.materialize(marked.where("first and (later or n > 1)").select(F.col("id").alias(id_col)).unionByName(more), "odd")
     if odd.isEmpty():
         return rest
     few = C.only(rest, odd, id_col)

@@ -236,6 +236,29 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
-    """``docs`` with all its columns, without the ids that ``groups`` tells to be near copies of a lower id; rows with a null id or text stay."""
-    gone = C.materialize(groups(docs, id_col, text_col, threshold, miss).select(id_col), "near-ids")
-    return C.without(docs, gone, id_col)
+    """``docs`` with all its columns, without the near copies of a text with a lower id; rows with a null id or text stay.
+
+    If rows with one id have several texts, each text is judged by itself;
+    rows with one id aren't near copies of each other.
+    """
+    found = C.materialize(groups(docs, id_col, text_col, threshold, miss), "near")
+    ids = C.materialize(found.select(id_col).distinct(), "near-ids")
+    # Of a component that drops no repeated id, the others go by their ids alone; these counts read no text.
+    many = C.materialize(C.only(docs.select(id_col), ids, id_col).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col), "many")
+    if many.isEmpty():
+        return C.without(docs, ids, id_col)
+    # The components with such ids anew, with (id, text) as nodes, numbered in the order of the ids.
+    roots = found.join(many, id_col, "left_semi").select("kept_id").distinct()
+    of = found.join(roots, "kept_id", "left_semi")
+    affected = C.materialize(of.select(id_col).union(of.select("kept_id")).distinct(), "affected")
+    key, node, own, text_key = (C.fresh(docs, x) for x in ("key", "node", "own", "text_key"))
+    few = C.only(docs, affected, id_col).withColumn(key, F.sha2(F.col(text_col), 256))
+    kinds = few.where(F.col(text_col).isNotNull())
+    nodes = C.materialize(kinds.select(id_col, key).distinct().orderBy(id_col, key).withColumn(node, F.monotonically_increasing_id()), "nodes")
+    texts = C.materialize(kinds.select(id_col, key, text_col).dropDuplicates([id_col, key]).join(nodes, [id_col, key]).select(node, text_col), "node-texts")
+    pairs = groups(texts, node, text_col, threshold, miss)
+    kept = nodes.select(F.col(node).alias("kept_id"), F.col(id_col).alias("low"))
+    gone = C.materialize(pairs.join(kept, "kept_id").join(nodes.select(node, F.col(id_col).alias(own), F.col(key).alias(text_key)), node).where(F.col("low") < F.col(own)).select(own, text_key), "near-texts")
+    left = few.join(gone, (F.col(id_col) == F.col(own)) & (F.col(key) == F.col(text_key)), "left_anti").select(docs.columns)
+    plain = C.materialize(ids.join(affected, id_col, "left_anti"), "plain")
+    return C.without(C.without(docs, plain, id_col), affected, id_col).unionByName(left)

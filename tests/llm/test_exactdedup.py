@@ -51,6 +51,13 @@ def test_one_id_with_several_texts(make):
     assert sorted((r.doc_id, r.text) for r in X.drop_copies(docs).collect()) == [(0, "a b"), (1, "c d"), (3, "e")]
 
 
+def test_an_id_with_copied_unique_and_null_texts(make):
+    """Only the copies go; rows of the same id that are no copies stay."""
+    docs = make([(1, "A"), (5, "A"), (5, "B unique"), (5, None), (6, "A"), (6, "A"), (7, "C"), (8, "C"), (8, None)])
+    assert rows(X.copies(docs)) == [(5, 1), (6, 1), (8, 7)]
+    assert rows(X.drop_copies(docs).select("doc_id", "text")) == rows(make([(1, "A"), (5, "B unique"), (5, None), (7, "C"), (8, None)]).select("doc_id", "text"))
+
+
 def test_equal_identifiers_of_different_chunks(make):
     """With a digest that tells nothing apart but the length, verification still does."""
     docs = make([(1, "aaaa"), (2, "bbbb"), (3, "aaaa"), (4, ""), (5, "")])

@@ -67,6 +67,13 @@ def test_odd_rows(odd):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 1, 2, None, 3, 4, 6, 7, None]))
 
 
+def test_an_id_with_near_copies_unique_and_null_texts(make):
+    """Each text is judged by itself, also where ids with several texts tie groups together."""
+    a, b, c = (words(k, 80, 10**6) for k in (1, 2, 3))
+    docs = make([(1, a), (5, f"{a} more"), (5, c), (5, None), (5, ""), (9, f"{c} more"), (6, b), (7, f"{b} more"), (None, a)])
+    assert rows(N.drop_near(docs).select("doc_id", "text")) == rows(make([(1, a), (5, c), (5, None), (5, ""), (6, b), (None, a)]).select("doc_id", "text"))
+
+
 def test_empty_table(empty):
     assert rows(N.groups(empty)) == [] and N.drop_near(empty).count() == 0
 
