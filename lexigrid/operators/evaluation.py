@@ -140,11 +140,12 @@ def _asked(questions: DataFrame, keep_duplicates: bool) -> DataFrame:
 # Analogies
 
 
-def predict_analogies(questions: DataFrame, vectors: DataFrame, k: int = 1, epsilon: float = 0.001, threshold: int = 300_000, positive: bool | None = None) -> DataFrame:
+def predict_analogies(questions: DataFrame, vectors: DataFrame, k: int = 1, epsilon: float = 0.001, threshold: int | None = None, positive: bool | None = None) -> DataFrame:
     """``(a, b, c, method, word, rank, score)``: the k best answers to "a is to b as c is to" by 3CosAdd and 3CosMul.
 
     ``questions`` is ``(a, b, c)``; ``vectors`` is ``(word, vec, idx)``, of
-    which those with idx < ``threshold`` are candidates.  Similarities are
+    which all are candidates, or with a ``threshold`` those with a lower idx
+    (300,000 is usual for fast, approximate answers).  Similarities are
     cosines where no component is negative (``positive``, found out if None),
     else (cosine + 1) / 2.  The question's own words are no answers; equal
     scores, to 12 digits, go by idx.  Questions with a word that has no vector
@@ -156,7 +157,7 @@ def predict_analogies(questions: DataFrame, vectors: DataFrame, k: int = 1, epsi
     for w in "abc":
         q = q.join(vectors.select(F.col("word").alias(w), F.col("vec").alias(f"v{w}")), w)
     q = q.select(F.xxhash64("a", "b", "c").alias("q"), "a", "b", "c", "va", "vb", "vc")
-    candidates = vectors.where(F.col("idx") < threshold).select("word", "vec", F.col("idx").cast("long").alias("idx"))
+    candidates = (vectors if threshold is None else vectors.where(F.col("idx") < threshold)).select("word", "vec", F.col("idx").cast("long").alias("idx"))
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         out = {n: [] for n in ("a", "b", "c", "method", "word", "idx", "score")}

@@ -173,7 +173,7 @@ SELECT 'w' || a AS a, 'w' || b AS b, 'w' || c AS c, 'w' || idx AS word, rank::IN
 def _analogies(spark, sf_dir) -> DataFrame:
     v = _named(vectors(spark, sf_dir))
     name = lambda k: F.concat(F.lit("w"), (F.col("idx") + k).cast("string"))
-    return E.predict_analogies(v.select(name(0).alias("a"), name(1).alias("b"), name(2).alias("c")), v, 3)
+    return E.predict_analogies(v.select(name(0).alias("a"), name(1).alias("b"), name(2).alias("c")), v, 3, threshold=None)
 
 
 @query(_ANALOGY.replace("METHOD", "sb - sa + sc"))

@@ -10,6 +10,7 @@ from lexigrid.operators import composition as P
 from lexigrid.operators import evaluation as E
 from lexigrid.operators import transport as T
 from lexigrid.operators import vectors as V
+from lexigrid.plans import vector_queries as Q
 
 PLACES = {"paris": (1, 0), "france": (1, 0.2), "london": (0, 1), "england": (0, 1.2), "belgium": (0.7, 0.7), "germany": (0.7, 0.8)}
 
@@ -88,6 +89,15 @@ def test_isotropy(spark):
     assert norms == pytest.approx([math.sqrt(5) / 5 / np.linalg.norm(data, axis=1).mean()] * 10)
 
 
+def test_analogy_queries_search_ids_past_300000(spark, tmp_path):
+    data = np.random.default_rng(6).standard_normal((8, 5)).round(2).tolist()
+    ids = range(299_997, 300_005)
+    spark.createDataFrame([(i, v, 0) for i, v in zip(ids, data)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for query in (Q.analogy_cosadd, Q.analogy_cosmul):
+        got = {(r.a, r.word) for r in query(spark, str(tmp_path)).collect()}
+        assert len(got) == 6 * 3 and any(w > "w300000" for _, w in got)
+
+
 def test_analogies(spark):
     v = indexed(spark, PLACES)
     q = spark.createDataFrame([("paris", "france", "london"), ("paris", "france", "nowhere")], "a string, b string, c string")
