@@ -11,8 +11,11 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .flat import PRIME
+
 PUNCTUATION = string.punctuation
-NUMBER = r"(?U)\d+((,\d*)*(\.\d*)*)*"
+#: A digit and all digits, commas and dots behind it; possessive, so that no text is too long for it.
+NUMBER = r"(?U)\d++[\d,.]*+"
 
 
 def drop_punctuation(line: Column) -> Column:
@@ -69,18 +72,14 @@ def project(tokens: Column, entity: str | tuple[str, ...] | None) -> Column:
     return F.transform(tokens, lambda t: F.struct(*[t[a].alias(a) for a in entity]))
 
 
-def merge_bigrams(tokens: Column, bigrams: Column) -> Column:
-    """Merge listed pairs (``first second`` strings) from left to right into one token each; a merged token takes part in no other pair."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"))
+def draw_base(*key: Column | str) -> Column:
+    """A number from 0 to ``flat.PRIME`` - 1 by the values of a key, the same on every engine that has md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in key])), 1, 8), 16, 10).cast("long") % F.lit(PRIME)
 
-    def step(acc: Column, i: Column) -> Column:
-        here, after = F.get(tokens, i), F.get(tokens, i + 1)
-        pair = F.concat_ws(" ", here, after)
-        hit = after.isNotNull() & F.array_contains(bigrams, pair)
-        kept = F.struct(acc.out.alias("out"), F.lit(0).alias("skip"))
-        merged = F.struct(F.array_append(acc.out, pair).alias("out"), F.lit(1).alias("skip"))
-        single = F.struct(F.array_append(acc.out, here).alias("out"), F.lit(0).alias("skip"))
-        return F.when(acc.skip == 1, kept).when(hit, merged).otherwise(single)
 
-    places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step, lambda acc: acc.out)
+def draw(base: Column, place: Column) -> Column:
+    """``flat.draws`` as a Column: a number from 0 to ``PRIME`` - 1 by a row's base and a place in it."""
+    x = (base + place.cast("long") * F.lit(1000003)) % F.lit(PRIME)
+    x = (x * x + F.lit(12345)) % F.lit(PRIME)
+    x = (x * x + base) % F.lit(PRIME)
+    return x * F.lit(48271) % F.lit(PRIME)

@@ -1,7 +1,8 @@
 """Context definitions: from sentences to ``(doc_id, sent_id, pos, word, ctx[, dist])`` rows.
 
 Contexts of a token are built from its own sentence's array, so a context
-definition shuffles nothing; only targets of the vocabulary are exploded.
+definition shuffles nothing.  Windows are numpy passes over whole Arrow batches
+of sentences (``functions.flat``).
 """
 
 from __future__ import annotations
@@ -9,11 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import flat
+from ..functions import text as T
 from ..functions.errors import NotAllowedValue
-from ..plans.store import sized
+from ..plans.store import listed, sized
 from . import counts as K
 
 Context = Callable[[DataFrame], DataFrame]
@@ -32,21 +37,13 @@ def _contexts(rows: DataFrame, vocab: DataFrame | None) -> DataFrame:
     return rows if vocab is None else rows.join(_one(vocab, "ctx"), "ctx", "left_semi")
 
 
-def _ngrams(tokens: Column, n: int) -> Column:
-    """Every run of n tokens, joined by a space; null where one of them is null."""
-    if n == 1:
-        return tokens
-    last = F.size(tokens) - n
-    return F.when(last < 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(*[x for k in range(n) for x in ([F.lit(" ")] if k else []) + [F.get(tokens, i + k)]])))
-
-
 @dataclass(frozen=True)
 class Window:
     """Tokens at most ``size`` places away, on both sides or (before, after).
 
     ``dirty``: words out of the vocabulary don't use up the window.
     ``dynamic``: each target draws its size from 1 to ``size`` (0 stays 0);
-    equal sides share a draw.  ``n_grams``: contexts are runs of n tokens that
+    equal sides share a draw, a hash of the token's place.  ``n_grams``: contexts are runs of n tokens that
     lie on one side, all of them in the vocabulary.  ``distance``: rows have
     the signed distance ``dist`` to the context's nearest token on the left
     and to its first on the right.
@@ -67,75 +64,116 @@ class Window:
     def sides(self) -> tuple[int, int]:
         return (self.size, self.size) if isinstance(self.size, int) else tuple(self.size)
 
-    def _draws(self, pos: Column) -> tuple[Column, Column]:
-        before, after = self.sides
-        if not self.dynamic:
-            return F.lit(before), F.lit(after)
-
-        def draw(k: int, side: int) -> Column:
-            h = F.pmod(F.xxhash64("doc_id", "sent_id", pos, F.lit(self.seed), F.lit(side)), F.lit(max(k, 1))).cast("int") + 1
-            return h if k else F.lit(0)
+    def _rows(self, sentences: DataFrame, words: DataFrame | None, vocab: DataFrame | None, keep: tuple[str, ...] = ()) -> tuple[DataFrame, Callable]:
+        """Sentences as ``w`` and ``c``, tokens as targets and as contexts, and a function from a batch of these to ``flat.around``'s parts.
 
-        return (draw(before, 0), draw(after, 0)) if before == after else (draw(before, 0), draw(after, 1))
+        Vocabularies of a checked size are looked up in the workers; for
+        others tokens are joined with them and gathered to sentences again.
+        """
+        targets, contexts = (None if v is None else listed(v, "word") for v in (words, vocab))
+        wide = (words is not None and targets is None) or (vocab is not None and contexts is None)
+        if wide:
+            sentences = marked(sentences, words, vocab)
+        else:
+            sentences = sentences.withColumns({"w": F.col("tokens"), "c": F.col("tokens")})
+        bases = [T.draw_base("doc_id", "sent_id", F.lit(self.seed), F.lit(k)).alias(f"base{k}") for k in (0, 1)] if self.dynamic else []
+        shared = sentences.sparkSession.sparkContext.broadcast(None if wide else (targets, contexts))
+        sides, n, dirty, dynamic = self.sides, self.n_grams, self.dirty and vocab is not None, self.dynamic
+        one_draw = sides[0] == sides[1]
+
+        def parts(batch):
+            listed_ = shared.value or (None, None)
+            values, o = flat.lists(flat.column(batch, "w"))
+            code, names = flat.codes(values)
+            if wide:
+                context, others = flat.codes(flat.lists(flat.column(batch, "c"))[0])
+            else:
+                context, others = flat.known(code, names, listed_[1] and pa.array(listed_[1], pa.string())), names
+                code = flat.known(code, names, None if listed_[0] is None else pa.array(listed_[0], pa.string()))
+            reach = None
+            if dynamic:
+                base = [flat.column(batch, f"base{k}").to_numpy() for k in (0, 1)]
+
+                def reach(place, row):
+                    size = lambda k, b: 1 + flat.draws(b[row], place) % k if k else np.zeros(len(row), np.int64)
+                    return size(sides[0], base[0]), size(sides[1], base[0 if one_draw else 1])
+
+            items, found = flat.around(code, context, o, sides, n, dirty, reach)
+            gram, named = flat.grams(context[items], others, n)
+            return o, code, names, gram, named, found
+
+        return sentences.select(*keep, "w", "c", *bases), parts
 
     def __call__(self, sentences: DataFrame, words: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
-        if self.dirty and vocab is not None:
-            return self._skipping(sentences, words, vocab)
-        if self.n_grams > 1 and vocab is not None:
-            sentences = masked(sentences, vocab)
-            vocab = None
-        words_of = F.col("raw") if "raw" in sentences.columns else F.col("tokens")
-        n = self.n_grams
-        base = sentences.select("doc_id", "sent_id", words_of.alias("w"), _ngrams(F.col("tokens"), n).alias("grams"))
-        b, a = self.sides
-
-        def around(word: Column, pos: Column) -> Column:
-            """Contexts of one place; an n-gram on the left ends before it, one on the right begins after it."""
-            near, far = (F.lit(b), F.lit(a)) if not self.dynamic else self._draws(pos)
-            lo, hi = F.greatest(F.lit(0), pos - near), F.least(F.size("grams") - 1, pos + far - n + 1)
-            left = F.when(lo <= pos - n, F.sequence(lo, pos - n)).otherwise(F.array().cast("array<int>"))
-            right = F.when(pos + 1 <= hi, F.sequence(pos + 1, hi)).otherwise(F.array().cast("array<int>"))
-            one = lambda i: F.struct(pos.alias("pos"), word.alias("word"), F.get("grams", i).alias("ctx"), F.when(i < pos, i + (n - 1) - pos).otherwise(i - pos).alias("dist"))
-            return F.when(word.isNotNull(), F.transform(F.concat(left, right), one))
-
-        # The pairs are made inside the sentence's row: what leaves it is as wide as a pair, never a sentence.
-        pairs = base.select("doc_id", "sent_id", F.explode(F.flatten(F.filter(F.transform("w", around), lambda x: x.isNotNull()))).alias("c"))
-        out = pairs.select("doc_id", "sent_id", "c.pos", "c.word", "c.ctx", "c.dist").where("ctx is not null")
-        out = _contexts(_targets(out, words), vocab)
-        return out.select("doc_id", "sent_id", "pos", "word", "ctx", *(["dist"] if self.distance else []))
-
-    def _skipping(self, sentences: DataFrame, words: DataFrame | None, vocab: DataFrame) -> DataFrame:
-        """Each side is filled with the nearest context words; others are skipped before the window is sized."""
-        at = K.tokens(sentences).where("word is not null")
-        marked = at.join(vocab.select("word", F.lit(True).alias("is_ctx")), "word", "left")
-        if words is None:
-            marked = marked.withColumn("is_word", F.lit(True))
-        else:
-            marked = marked.join(words.select("word", F.lit(True).alias("is_word")), "word", "left")
-        rows = marked.where("is_ctx or is_word").groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "is_ctx", "is_word"))).alias("r"))
-        rows = rows.select("doc_id", "sent_id", F.filter("r", lambda x: x.is_ctx).alias("c"), F.explode(F.filter("r", lambda x: x.is_word)).alias("t")).select("doc_id", "sent_id", "c", "t.pos", "t.word")
-        b, a = self._draws(F.col("pos"))
-        before, after = F.filter("c", lambda x: x.pos < F.col("pos")), F.filter("c", lambda x: x.pos > F.col("pos"))
-        n = self.n_grams
-        step = rows.withColumn("l", before).withColumn("r", after).withColumn("b", b).withColumn("a", a)
-        left = F.slice("l", F.greatest(F.size("l") - F.col("b") + 1, F.lit(1)), F.col("b"))
-        right = F.slice("r", 1, F.col("a"))
-
-        def runs(side: Column, nearest_last: bool) -> Column:
-            last = F.size(side) - n
-            one = lambda i: F.struct(F.array_join(F.transform(F.slice(side, i + 1, n), lambda x: x.word), " ").alias("ctx"), (F.get(side, i + (n - 1) if nearest_last else i).pos - F.col("pos")).alias("dist"))
-            return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(F.array().cast("array<struct<ctx:string,dist:int>>"))
-
-        sided = step.withColumn("left", left).withColumn("right", right)
-        out = sided.select("doc_id", "sent_id", "pos", "word", F.explode(F.concat(runs(F.col("left"), True), runs(F.col("right"), False))).alias("x")).select("doc_id", "sent_id", "pos", "word", "x.ctx", "x.dist")
+        rows, parts = self._rows(sentences, words, vocab, ("doc_id", "sent_id"))
+        kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", "sent_id")]
+
+        def run(batches):
+            for b in flat.slices(batches, "w"):
+                o, code, names, gram, named, found = parts(b)
+                for t, k, dist in found:
+                    ok = gram[k] >= 0
+                    t, k, dist = t[ok], k[ok], dist[ok]
+                    row = pa.array(np.searchsorted(o, t, "right") - 1)
+                    keys = [flat.column(b, c).take(row) for c in ("doc_id", "sent_id")]
+                    pos = pa.array((t - o[row.to_numpy()]).astype(np.int32))
+                    cols = [*keys, pos, names.take(pa.array(code[t])), named.take(pa.array(gram[k])), pa.array(dist.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sent_id", "pos", "word", "ctx", "dist"])
+
+        out = rows.mapInArrow(run, f"{', '.join(kinds)}, pos int, word string, ctx string, dist int")
         return out if self.distance else out.drop("dist")
 
+    def counted(self, sentences: DataFrame, words: DataFrame | None, vocab: DataFrame | None) -> DataFrame:
+        """``(word, ctx[, dist], n)``: pairs are counted in the sentences' tasks first, so what is shuffled are partial counts."""
+        rows, parts = self._rows(sentences, words, vocab)
+        far = self.distance
 
-def masked(sentences: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Sentences whose ``tokens`` out of the vocabulary are null; ``raw`` keeps all tokens."""
-    at = K.tokens(sentences).join(vocab.select("word", F.col("word").alias("known")), "word", "left")
-    rows = at.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "known"))).alias("r"))
-    return rows.select("doc_id", "sent_id", F.transform("r", lambda x: x.known).alias("tokens"), F.transform("r", lambda x: x.word).alias("raw"))
+        def run(batches):
+            for b in flat.slices(batches, "w"):
+                _, code, names, gram, named, found = parts(b)
+                width, keys, counts, held = max(1, len(named)), [], [], 0
+                for t, k, dist in found:
+                    ok = gram[k] >= 0
+                    key = code[t[ok]] * width + gram[k[ok]]
+                    if far:
+                        yield from _distances(key, dist[ok], width, names, named)
+                        continue
+                    keys.append(key)
+                    held += len(key)
+                    if held > flat.PAIRS:
+                        kinds, n = flat.tally(keys)
+                        counts.append((kinds, n))
+                        keys, held = [], 0
+                if keys:
+                    counts.append(flat.tally(keys))
+                if counts:
+                    kinds, n = counts[0] if len(counts) == 1 else flat.tally([c[0] for c in counts], [c[1] for c in counts])
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(kinds // width)), named.take(pa.array(kinds % width)), pa.array(n)], ["word", "ctx", "n"])
+
+        out = rows.mapInArrow(run, f"word string, ctx string, {'dist int, ' if far else ''}n long")
+        return out.groupBy("word", "ctx", *(["dist"] if far else [])).agg(F.sum("n").alias("n"))
+
+
+def _distances(key: np.ndarray, dist: np.ndarray, width: int, names: pa.Array, named: pa.Array):
+    """Counts by pair and distance of one part."""
+    if not len(key):
+        return
+    pair, at = np.unique(key, return_inverse=True)
+    low, span = int(dist.min()), int(dist.max() - dist.min()) + 1
+    kinds, n = np.unique(at * span + (dist - low), return_counts=True)
+    both = pair[kinds // span]
+    cols = [names.take(pa.array(both // width)), named.take(pa.array(both % width)), pa.array((kinds % span + low).astype(np.int32)), pa.array(n)]
+    yield pa.RecordBatch.from_arrays(cols, ["word", "ctx", "dist", "n"])
+
+
+def marked(sentences: DataFrame, words: DataFrame | None, vocab: DataFrame | None) -> DataFrame:
+    """Sentences with ``w`` and ``c``: their tokens, null where they aren't in a vocabulary too large to be sent to every worker."""
+    row = F.monotonically_increasing_id().alias("row")
+    at = sentences.select(row, "doc_id", "sent_id", F.posexplode_outer("tokens").alias("pos", "word"))
+    for name, v in (("w", words), ("c", vocab)):
+        at = at.withColumn(name, F.col("word")) if v is None else at.join(v.select("word", F.col("word").alias(name)), "word", "left")
+    rows = at.groupBy("row", "doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "w", "c")))).alias("r"))
+    return rows.select("doc_id", "sent_id", F.transform("r", lambda x: x.w).alias("w"), F.transform("r", lambda x: x.c).alias("c"))
 
 
 @dataclass(frozen=True)
@@ -234,8 +272,6 @@ class Custom:
     function: Callable[[list], list]
 
     def __call__(self, sentences: DataFrame, words: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
-        import pyarrow as pa
-
         f = self.function
         slim = sentences.select("doc_id", "sent_id", "tokens")
         kind = pa.list_(pa.struct([("pos", pa.int32()), ("word", pa.string()), ("ctx", pa.string())]))

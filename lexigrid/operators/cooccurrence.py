@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..functions import flat
 from ..functions.errors import IncompatibleValue, RequiredValue
 from . import counts as K
-from .context import Context, Sentence, Window, _contexts, _targets
+from .context import Context, Sentence, Window
 
 
 def count_cooccurrence(
@@ -35,14 +37,14 @@ def count_cooccurrence(
     context = context or Window()
     plain = sentences.schema["tokens"].dataType.elementType.simpleString() == "string"
     if plain:
-        pairs = [r[0] for v in (words, contexts) if v is not None for r in K.bigrams_of(v).select("word").collect()]
-        if pairs:
-            listed = F.array(*[F.lit(p) for p in sorted(set(pairs))])
-            sentences = sentences.withColumn("tokens", T.merge_bigrams(F.col("tokens"), listed))
+        both = [K.bigrams_of(v).select("word") for v in (words, contexts) if v is not None]
+        sentences = K.merge_bigrams(sentences, both[0] if len(both) == 1 else both[0].union(both[1]).distinct())
         if subsampling is not None:
             sentences = K.subsample(sentences, K.subsampling(K.count_words(sentences), subsampling), seed)
     if isinstance(context, Sentence):
         return _within_sentences(sentences, words, contexts)
+    if isinstance(context, Window):
+        return context.counted(sentences, words, contexts)
     rows = context(sentences, words, contexts)
     item = ["ctx", "dist"] if "dist" in rows.columns else ["ctx"]
     return rows.groupBy("word", *item).agg(F.count(F.lit(1)).alias("n"))
@@ -51,16 +53,23 @@ def count_cooccurrence(
 def _within_sentences(sentences: DataFrame, words: DataFrame, contexts: DataFrame | None) -> DataFrame:
     """Sentence contexts from each sentence's word counts: a word x times and another y times make x y pairs, a word with itself x (x - 1).
 
-    One exchange by sentence serves the counting and the pairing; pairs of
-    places are never made.
+    Pairs of places are never made, and pairs of words are added up in the
+    sentences' tasks before the shuffle, some millions at a time.
     """
-    # Only the words that may pair: a long sentence's other words don't move.
-    at = K.tokens(sentences).where("word is not null").repartition("doc_id", "sent_id")
-    n = at.groupBy("doc_id", "sent_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    left = _targets(n, words)
-    right = _contexts(n.select("doc_id", "sent_id", F.col("word").alias("ctx"), F.col("n").alias("m")), contexts)
-    pairs = left.join(right, ["doc_id", "sent_id"]).select("word", "ctx", (F.col("n") * (F.col("m") - (F.col("word") == F.col("ctx")).cast("int"))).alias("n")).where("n > 0")
-    return pairs.groupBy("word", "ctx").agg(F.sum("n").alias("n"))
+    rows, parts = Window(0)._rows(sentences, words, contexts)
+
+    def run(batches):
+        for b in flat.slices(batches, "w"):
+            o, target, names, ctx, named, _ = parts(b)
+            # one dictionary for both, as a word isn't its own context
+            code, all_ = flat.codes(pa.concat_arrays([names, named]))
+            target = np.append(code[: len(names)], -1)[target]
+            ctx = np.append(code[len(names) :], -1)[ctx]
+            width = max(1, len(all_))
+            for kinds, n in flat.sentence_pairs(target, ctx, o, width):
+                yield pa.RecordBatch.from_arrays([all_.take(pa.array(kinds // width)), all_.take(pa.array(kinds % width)), pa.array(n)], ["word", "ctx", "n"])
+
+    return rows.mapInArrow(run, "word string, ctx string, n long").groupBy("word", "ctx").agg(F.sum("n").alias("n"))
 
 
 def merge(*cells: DataFrame, word_keys: Sequence[str] | None = None, context_keys: Sequence[str] | None = None, concat: Callable[[Column, Column], Column] | None = None) -> DataFrame:

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
+from ..functions import flat
 from ..functions import text as T
 from ..functions.errors import NotAllowedValue, OutOfVocabulary, UnsupportedType
-from ..plans.store import sized
+from ..plans.store import listed
 
 Filter = Callable[[DataFrame], DataFrame]
 
@@ -153,11 +158,86 @@ def bigrams_of(vocab: DataFrame) -> DataFrame:
     return vocab.where(F.instr("word", " ") > 0)
 
 
+def _rebuilt(sentences: DataFrame, kernel: Callable, kind: str) -> DataFrame:
+    """``sentences`` with ``tokens`` replaced by what ``kernel`` makes of a batch; all other columns stay, and nothing is shuffled."""
+    schema = T_.StructType([f if f.name != "tokens" else T_.StructField("tokens", T_._parse_datatype_string(kind)) for f in sentences.schema])
+
+    def run(batches):
+        for b in flat.slices(batches, "tokens"):
+            at = b.schema.get_field_index("tokens")
+            new = kernel(b)
+            yield b.set_column(at, pa.field("tokens", new.type), new)
+
+    return sentences.mapInArrow(run, schema)
+
+
+def merge_bigrams(sentences: DataFrame, bigrams: DataFrame) -> DataFrame:
+    """Sentences after merging listed pairs (``word``: two words with a space between) from left to right into one token each.
+
+    A merged token takes part in no other pair.  A list of a checked size is
+    looked up in the workers; for another one the sentences' adjacent pairs are
+    joined with it.
+    """
+    few = listed(bigrams, "word")
+    if few == []:
+        return sentences
+    if few is not None:
+        shared = sentences.sparkSession.sparkContext.broadcast(few)
+
+        def kernel(b):
+            values, o = flat.lists(flat.column(b, "tokens"))
+            code, names = flat.codes(values)
+            width = max(1, len(names))
+            parts = [x.split(" ", 1) for x in shared.value]
+            first, second = (pc.index_in(pa.array([p[k] for p in parts], pa.string()), value_set=names).fill_null(-1).to_numpy().astype(np.int64) for k in (0, 1))
+            keys = (first * width + second)[(first >= 0) & (second >= 0)]
+            after = np.append(code[1:], -1)[: len(code)]
+            after[o[1:-1][(o[1:-1] > 0) & (o[1:-1] <= len(code))] - 1] = -1
+            hit = np.isin(np.where((code >= 0) & (after >= 0), code * width + after, -1), keys)
+            new, cuts = flat.merged(code, names, o, hit)
+            return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), new)
+
+        return _rebuilt(sentences, kernel, "array<string>")
+    keyed = sentences.withColumn("_row", F.monotonically_increasing_id())
+    size = F.greatest(F.size("tokens") - 1, F.lit(0))
+    pairs = keyed.select("_row", F.posexplode(F.arrays_zip(F.slice("tokens", 1, size).alias("x"), F.slice("tokens", 2, size).alias("y"))).alias("pos", "p"))
+    hits = pairs.select("_row", "pos", F.concat("p.x", F.lit(" "), "p.y").alias("word")).join(bigrams.select("word").distinct(), "word", "left_semi")
+    both = keyed.join(hits.groupBy("_row").agg(F.collect_list("pos").alias("_hits")), "_row", "left").withColumn("_hits", F.coalesce("_hits", F.array().cast("array<int>")))
+
+    def joined(b):
+        values, o = flat.lists(flat.column(b, "tokens"))
+        code, names = flat.codes(values)
+        at, ho = flat.lists(flat.column(b, "_hits"))
+        hit = np.zeros(len(code), bool)
+        hit[at.to_numpy() + np.repeat(o[:-1], np.diff(ho))] = True
+        new, cuts = flat.merged(code, names, o, hit)
+        return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), new)
+
+    return _rebuilt(both, joined, "array<string>").select(sentences.columns)
+
+
 def encode(sentences: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(doc_id, sent_id, ids)``: the index of each token in its place, -1 out of vocabulary."""
-    at = tokens(sentences).join(sized(vocab), "word", "left").select("doc_id", "sent_id", F.struct("pos", F.coalesce("idx", F.lit(-1).cast("long")).alias("idx")).alias("t"))
+    """``(doc_id, sent_id, ids)``: the index of each token in its place, -1 out of vocabulary.
+
+    A vocabulary of a checked size is looked up in the sentences' own tasks;
+    for another one tokens are joined with it and gathered again.
+    """
+    slim = sentences.select("doc_id", "sent_id", "tokens")
+    words = listed(vocab, "word")
+    if words is not None:
+        shared = sentences.sparkSession.sparkContext.broadcast([(r.word, r.idx) for r in vocab.select("word", "idx").collect()])
+
+        def kernel(b):
+            values, o = flat.lists(flat.column(b, "tokens"))
+            listed_ = pa.array([w for w, _ in shared.value], pa.string())
+            index = np.append(np.array([i for _, i in shared.value], np.int64), -1)
+            at = pc.index_in(values, value_set=listed_).fill_null(-1).to_numpy()
+            return pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(index[at]))
+
+        return _rebuilt(slim, kernel, "array<bigint>").withColumnRenamed("tokens", "ids")
+    at = tokens(slim).join(vocab, "word", "left").select("doc_id", "sent_id", F.struct("pos", F.coalesce("idx", F.lit(-1).cast("long")).alias("idx")).alias("t"))
     ids = F.transform(F.array_sort(F.collect_list("t")), lambda t: t.idx)
-    empty = sentences.where(F.size("tokens") == 0).select("doc_id", "sent_id", F.array().cast("array<bigint>").alias("ids"))
+    empty = slim.where(F.size("tokens") == 0).select("doc_id", "sent_id", F.array().cast("array<bigint>").alias("ids"))
     return at.groupBy("doc_id", "sent_id").agg(ids.alias("ids")).unionByName(empty)
 
 
@@ -174,9 +254,24 @@ def subsample(sentences: DataFrame, probabilities: DataFrame, seed: int = 0) ->
     The draw is a hash of document, sentence, position and seed: it is the
     same however the table is partitioned.
     """
-    draw = (F.pmod(F.xxhash64("doc_id", "sent_id", "pos", F.lit(seed)), F.lit(1 << 31)) / F.lit(float(1 << 31))).alias("u")
-    at = tokens(sentences).select("*", draw).join(sized(probabilities), "word", "left")
-    kept = at.select("doc_id", "sent_id", F.struct("pos", F.when(F.col("p").isNull() | (F.col("u") >= F.col("p")), F.col("word")).alias("word")).alias("t"))
+    base = sentences.withColumn("_base", T.draw_base("doc_id", "sent_id", F.lit(seed)))
+    few = listed(probabilities, "word")
+    if few is not None:
+        shared = sentences.sparkSession.sparkContext.broadcast([(r.word, r.p) for r in probabilities.select("word", "p").collect()])
+
+        def kernel(b):
+            values, o = flat.lists(flat.column(b, "tokens"))
+            p = np.append(np.array([x for _, x in shared.value], float), 0.0)
+            at = pc.index_in(values, value_set=pa.array([w for w, _ in shared.value], pa.string())).fill_null(-1).to_numpy()
+            row = np.repeat(np.arange(b.num_rows), np.diff(o))
+            u = flat.draws(flat.column(b, "_base").to_numpy()[row], np.arange(len(row)) - o[:-1][row]) / flat.PRIME
+            gone = u < p[at]
+            return pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pc.if_else(pa.array(gone), pa.scalar(None, values.type), values))
+
+        return _rebuilt(base, kernel, "array<string>").select(sentences.columns)
+    at = base.select("doc_id", "sent_id", "_base", F.posexplode("tokens").alias("pos", "word")).join(probabilities, "word", "left")
+    u = T.draw(F.col("_base"), F.col("pos")) / F.lit(float(flat.PRIME))
+    kept = at.select("doc_id", "sent_id", F.struct("pos", F.when(F.col("p").isNull() | (u >= F.col("p")), F.col("word")).alias("word")).alias("t"))
     words = F.transform(F.array_sort(F.collect_list("t")), lambda t: t.word)
     empty = sentences.where(F.size("tokens") == 0).select("doc_id", "sent_id", "tokens")
     return kept.groupBy("doc_id", "sent_id").agg(words.alias("tokens")).unionByName(empty)

@@ -17,13 +17,13 @@ from ..operators import matrix as M
 from ..operators import weighting as W
 from ..operators.cooccurrence import count_cooccurrence, merge
 from ..sources import corpus as S
-from .store import materialize
+from .store import materialize, spread
 
 VOCABULARY = 1500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def sentences(spark: SparkSession, sf_dir: str, **normalize: bool) -> DataFrame:
@@ -56,6 +56,14 @@ CELLS = f"""{VOCAB}, cells AS (
   SELECT a.word, b.word AS ctx, count(*) AS n FROM tok a JOIN tok b ON {PAIRS} AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 AND a.pos <> b.pos
   WHERE a.word IN (SELECT word FROM vocab) AND b.word IN (SELECT word FROM vocab) GROUP BY ALL)"""
 
+#: With ``base`` and ``pos`` in scope, ``text.draw`` as the column ``draw``.
+DRAW = "(base + pos * 1000003) % 2147483647 AS x0, (x0 * x0 + 12345) % 2147483647 AS x1, (x1 * x1 + base) % 2147483647 AS x2, x2 * 48271 % 2147483647 AS draw"
+
+
+def base_sql(*key: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('/', {', '.join(key)})), 1, 8))::BIGINT % 2147483647"
+
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 
@@ -139,7 +147,8 @@ def subsampler_probabilities(spark, sf_dir):
     return rounded(K.subsampling(K.count_words(sentences(spark, sf_dir)), 1e-3), "p")
 
 
-@query()
+@query(f"""WITH {TOKENS}, p AS (SELECT word, 1 - sqrt(1e-3 / (n / (SELECT sum(n) FROM counts))) AS p FROM counts),
+k AS (SELECT word, {base_sql('doc_id', 'sent_id', '1')} AS base, {DRAW} FROM tok) SELECT word, count(*) AS n FROM k JOIN p USING (word) WHERE draw / 2147483647 >= p GROUP BY word""")
 def subsampled_counts(spark, sf_dir):
     corpus = sentences(spark, sf_dir)
     kept = K.subsample(corpus, materialize(K.subsampling(K.count_words(corpus), 1e-3), "subsampling"), seed=1)
@@ -149,8 +158,9 @@ def subsampled_counts(spark, sf_dir):
 @query(f"""WITH {TOKENS}, two AS (SELECT a.doc_id, a.sent_id, a.pos FROM tok a JOIN tok b ON {PAIRS} AND b.pos = a.pos + 1 WHERE a.word = 'of' AND b.word = 'the')
 SELECT count(*) AS n FROM two""")
 def merged_bigrams(spark, sf_dir):
-    words = T.merge_bigrams(F.col("tokens"), F.array(F.lit("of the")))
-    return sentences(spark, sf_dir).agg(F.coalesce(F.sum(F.size(F.filter(words, lambda w: w == "of the"))), F.lit(0)).cast("long").alias("n"))
+    listed = spark.createDataFrame([("of the",)], "word string")
+    merged = K.merge_bigrams(sentences(spark, sf_dir), listed).select(F.explode("tokens").alias("word"))
+    return merged.where("word = 'of the'").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Annotated corpora given inline
@@ -227,7 +237,8 @@ def cooc_ngram(spark, sf_dir):
     return count_cooccurrence(corpus, v, X.Window(3, n_grams=2), v)
 
 
-@query()
+@query(f"""WITH {VOCAB}, k AS (SELECT *, {base_sql('doc_id', 'sent_id', '1', '0')} AS base, {DRAW} FROM tok WHERE word IN (SELECT word FROM vocab))
+SELECT a.word, b.word AS ctx, count(*) AS n FROM k a JOIN tok b ON {PAIRS} AND b.pos BETWEEN a.pos - (1 + a.draw % 4) AND a.pos + 1 + a.draw % 4 AND a.pos <> b.pos WHERE b.word IN (SELECT word FROM vocab) GROUP BY ALL""")
 def cooc_dynamic(spark, sf_dir):
     corpus = sentences(spark, sf_dir)
     v = top_words(corpus)

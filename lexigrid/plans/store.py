@@ -36,6 +36,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, split: int = 4 << 20) -> DataFrame:
+    """``df``, a table read from files, dealt to all cores if its files are too small to be split over them; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if cores > 1 and size < cores * split else df
+
+
+def listed(df: DataFrame, name: str, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> list | None:
+    """The values of a column if the counted rows fit a broadcast, else None."""
+    most = limit // row_bytes
+    rows = df.select(name).limit(most + 1).collect()
+    return [r[0] for r in rows] if len(rows) <= most else None
+
+
 def sized(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows fit; otherwise Spark shuffles both sides of a join.
 

@@ -109,8 +109,10 @@ def test_bigrams_in_sentences(spark):
     s = S.from_iterable(spark, ["i love new york"])
     v = vocab(spark, ["i", "love", ("new", "york")])
     assert grid(count_cooccurrence(s, v, X.Window(1), v), ["i", "love", "new york"], ["i", "love", "new york"]) == [[0, 1, 0], [1, 0, 1], [0, 1, 0]]
-    merged = spark.createDataFrame([(list("aaabc"),)], "tokens array<string>").select(T.merge_bigrams(F.col("tokens"), F.array(F.lit("a a"))).alias("t")).first().t
-    assert merged == ["a a", "a", "b", "c"]
+    s = spark.createDataFrame([(0, 0, list("aaabc")), (0, 1, ["a"]), (1, 0, []), (1, 1, ["a", None, "a", "a"])], "doc_id int, sent_id int, tokens array<string>")
+    listed = spark.createDataFrame([("a a",), ("x y",)], "word string")
+    want = [["a a", "a", "b", "c"], ["a"], [], ["a", None, "a a"]]
+    assert [r.tokens for r in K.merge_bigrams(s, listed).orderBy("doc_id", "sent_id").collect()] == want
 
 
 def test_merge_with_keys(spark):
