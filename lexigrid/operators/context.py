@@ -65,7 +65,7 @@ class Window:
         return (self.size, self.size) if isinstance(self.size, int) else tuple(self.size)
 
     def _rows(self, sentences: DataFrame, words: DataFrame | None, vocab: DataFrame | None, keep: tuple[str, ...] = ()) -> tuple[DataFrame, Callable]:
-        """Sentences as ``w`` and ``c``, tokens as targets and as contexts, and a function from a batch of these to ``flat.around``'s parts.
+        """Sentences as ``w``, tokens as targets (and ``c``, as contexts, where these differ), and a function from a batch of these to ``flat.around``'s parts.
 
         Vocabularies of a checked size are looked up in the workers; for
         others tokens are joined with them and gathered to sentences again.
@@ -75,7 +75,7 @@ class Window:
         if wide:
             sentences = marked(sentences, words, vocab)
         else:
-            sentences = sentences.withColumns({"w": F.col("tokens"), "c": F.col("tokens")})
+            sentences = sentences.withColumn("w", F.col("tokens"))
         bases = [T.draw_base("doc_id", "sent_id", F.lit(self.seed), F.lit(k)).alias(f"base{k}") for k in (0, 1)] if self.dynamic else []
         shared = sentences.sparkSession.sparkContext.broadcast(None if wide else (targets, contexts))
         sides, n, dirty, dynamic = self.sides, self.n_grams, self.dirty and vocab is not None, self.dynamic
@@ -102,7 +102,7 @@ class Window:
             gram, named = flat.grams(context[items], others, n)
             return o, code, names, gram, named, found
 
-        return sentences.select(*keep, "w", "c", *bases), parts
+        return sentences.select(*keep, "w", *(["c"] if wide else []), *bases), parts
 
     def __call__(self, sentences: DataFrame, words: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
         rows, parts = self._rows(sentences, words, vocab, ("doc_id", "sent_id"))
