@@ -8,11 +8,14 @@ under the miss probability.  Survivors are verified by the exact Jaccard
 similarity of their shingle sets.  Groups are the connected components of the
 verified pairs.
 
-Work in a bucket isn't quadratic in its copies.  First every member is tried
+Work in a bucket isn't quadratic in its members.  First every member is tried
 against the bucket's lowest id only.  Members that this joins need no other
-pair.  Then only buckets that still hold several components are compared in
-full, pair by pair, leaving out pairs within a component; so the components
-are those of all banded candidates.
+pair.  Buckets that still hold several components are searched for pairs
+across these: small ones pair by pair, the members of others through the rare
+shingles that a pair of enough similarity must share (prefixes of the sets in
+the order of rising frequency), so pages of one template, whose common
+shingles are the frequent ones, don't meet.  What this leaves out can't reach
+the threshold; so the components are those of all banded candidates.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ from . import common as C
 
 SHINGLE, ROWS, BANDS, BATCH = 2, 4, 32, 16
 THRESHOLD, MISS = 0.6, 0.001
+#: Members of a bucket that are compared pair by pair, and rows of a shingle that one task compares with as many; neither changes a result.
+FEW, BLOCK = 32, 1024
+#: Frequent shingles that are sent to the workers (16 bytes each); more are joined.
+SENT = C.BROADCAST_BYTES // 16
 
 _r = np.random.default_rng(11)
 _MUL = (_r.integers(0, 2**31, ROWS * BANDS, dtype=np.uint32) << 1) | 1
@@ -125,31 +132,37 @@ def _matrix(sigs: pa.Array) -> np.ndarray:
 
 
 def _prune(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """The ``(a, b)`` of ``pairs`` that their signatures don't rule out."""
+    """The ``(a, b)`` of ``pairs`` that share a band and that their signatures don't rule out."""
     least = least_matches(threshold, miss)
     both = pairs.join(sigs.selectExpr("id as a", "sig as sa"), "a").join(sigs.selectExpr("id as b", "sig as sb"), "b").select("a", "b", "sa", "sb")
 
     def run(batches):
         for x in batches:
             if x.num_rows:
-                keep = survives(_matrix(A.column(x, "sa")), _matrix(A.column(x, "sb")), least)
+                sa, sb = _matrix(A.column(x, "sa")), _matrix(A.column(x, "sb"))
+                keep = survives(sa, sb, least)
+                live = np.flatnonzero(keep)
+                keep[live] = (sa[live] == sb[live]).reshape(len(live), BANDS, ROWS).all(axis=2).any(axis=1)
                 yield x.select(["a", "b"]).filter(pa.array(keep))
 
     return both.mapInArrow(run, both.select("a", "b").schema)
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """The ``(a, b, jaccard)`` of ``pairs`` (materialized) whose shingle sets reach the threshold."""
-    ids = C.materialize(pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct(), "pair-ids")
+def _shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, set)`` of the rows with a text whose id is in ``ids`` (materialized); several rows of one id keep a set each."""
     slim = C.only(docs.select(id_col, text_col), ids, id_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
 
     def run(batches):
         for b in A.slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([A.column(b, "id"), _lists(*_sets(A.column(b, "text")))], ["id", "set"])
 
-    kind = slim.schema["id"].dataType.simpleString()
-    # Of rows with one id and several texts the first by content stands for the id, as in distinct_ids().
-    sets = C.materialize(slim.mapInArrow(run, f"id {kind}, set array<long>"), "sets")
+    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, set array<long>")
+
+
+def _exact(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """The ``(a, b, jaccard)`` of ``pairs`` (materialized) whose shingle sets reach the threshold; of ids with several texts the most similar two count."""
+    ids = C.materialize(pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct(), "pair-ids")
+    sets = C.materialize(_shingle_sets(docs, ids, id_col, text_col), "sets")
     both = pairs.join(sets.selectExpr("id as a", "set as x"), "a").join(sets.selectExpr("id as b", "set as y"), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.withColumn("jaccard", common / (F.size("x") + F.size("y") - common)).where(F.col("jaccard") >= threshold).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
@@ -178,29 +191,84 @@ def components(edges: DataFrame) -> DataFrame:
         state = told
 
 
-def _rest(buckets: DataFrame, sigs: DataFrame, roots: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Surviving pairs across components, from the buckets that hold several."""
-    least = least_matches(threshold, miss)
+def _rest(buckets: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """``(a, b)``, a < b: the pairs across components that could reach the threshold, from the buckets that hold several components."""
     placed = buckets.join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    open_ = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-    rows = placed.join(open_, "band", "left_semi").join(sigs, "id").select("band", "id", "root", "sig")
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("id")
-        ids, roots_ = (table.column(c).to_numpy() for c in ("id", "root"))
-        sig = _matrix(table.column("sig").combine_chunks())
-        a, b = [], []
-        for i in range(1, len(ids)):
-            other = np.flatnonzero(roots_[:i] != roots_[i])
-            if len(other):
-                hit = other[survives(sig[other], np.broadcast_to(sig[i], (len(other), sig.shape[1])), least)]
-                a.append(ids[hit])
-                b.append(np.full(len(hit), ids[i]))
-        none = np.zeros(0, ids.dtype)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
-
-    return rows.groupBy("band").applyInArrow(run, f"a {kind}, b {kind}").distinct()
+    size = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("band", "n")
+    open_ = C.materialize(placed.join(size, "band"), "open")
+    few = open_.where(F.col("n") <= FEW).select("band", "id", "root")
+    ends = few.alias("p").join(few.alias("q"), "band").where("p.id < q.id and p.root <> q.root")
+    pairs = ends.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+    pool = C.materialize(open_.where(F.col("n") > FEW).select("id", "root").distinct(), "pool")
+    if pool.isEmpty():
+        return pairs
+    ids = pool.select(F.col("id").alias(id_col)).distinct()
+    sets = C.materialize(_shingle_sets(docs, ids, id_col, text_col), "pool-sets")
+    return pairs.union(_sharing(sets, pool, threshold)).distinct()
+
+
+def _sharing(sets: DataFrame, pool: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)``, a < b: the ids of different roots whose sets share a shingle that sets of ``threshold`` similarity must share.
+
+    Shingles are ordered by rising frequency, then value.  If x, y have the
+    Jaccard similarity t and x is no smaller, they have t |x| shingles in
+    common, and 2 t / (1 + t) |y|; so their first common shingle is among the
+    first |x| - t |x| + 1 of x and |y| - 2 t / (1 + t) |y| + 1 of y, and as
+    many as must be common still follow it in both.
+    """
+    spark, kind = sets.sparkSession, sets.schema["id"].dataType.simpleString()
+    counts = C.materialize(sets.select(F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW), "frequent")
+
+    def prefixes(values, often, offsets):
+        """``(shingle, row, place, size, whether y's part)`` of the shingles in front, by rows of sets."""
+        size = np.diff(offsets)
+        row = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((values, often, row))
+        place = np.arange(len(values)) - offsets[:-1][row]
+        probe = size - np.ceil(threshold * size - 1e-9) + 1
+        index = size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-9) + 1
+        ok = place < probe[row]
+        return values[order][ok], row[ok], place[ok], size[row[ok]], (place < index[row])[ok]
+
+    if counts.count() <= SENT:
+        told = sorted((r.s, r.n) for r in counts.collect())
+        shared = spark.sparkContext.broadcast((np.array([s for s, _ in told], np.int64), np.array([n for _, n in told], np.int64)))
+        source = sets.select("id", "set")
+
+        def often(values, _):
+            s, n = shared.value
+            at = np.minimum(np.searchsorted(s, values), max(0, len(s) - 1))
+            return np.where(s[at] == values, n[at], 0) if len(s) else np.zeros(len(values), np.int64)
+    else:
+        one = sets.withColumn("row", F.monotonically_increasing_id()).select("row", "id", F.explode("set").alias("s"))
+        told = one.join(counts, "s", "left").groupBy("row", "id").agg(F.collect_list(F.struct("s", F.coalesce("n", F.lit(0)).alias("n"))).alias("x"))
+        source = told.select("id", F.col("x.s").alias("set"), F.col("x.n").alias("often"))
+        often = lambda _, batch: A.column(batch, "often").values.to_numpy()[A.column(batch, "often").offsets.to_numpy()[0] :]
+
+    def front(batches):
+        for b in batches:
+            x = A.column(b, "set")
+            o = x.offsets.to_numpy().astype(np.int64)
+            values = x.values.to_numpy()[o[0] : o[-1]]
+            s, row, place, size, index = prefixes(values, often(values, b)[: len(values)], o - o[0])
+            yield pa.RecordBatch.from_arrays([pa.array(s), A.column(b, "id").take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(index)], ["s", "id", "place", "size", "indexed"])
+
+    rows = source.mapInArrow(front, f"s long, id {kind}, place int, size int, indexed boolean").join(pool, "id").distinct()
+    rows = C.materialize(rows, "prefixes")
+    # A shingle in front of many sets is dealt into blocks: a task compares one block of them with one other.
+    heavy = C.materialize(rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("s", F.ceil(F.col("n") / BLOCK).cast("int").alias("g")), "heavy")
+    dealt = rows.join(C.sized(heavy, 48), "s", "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    every = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    own = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col("g")).cast("int")
+    x = dealt.select("s", own(1).alias("u"), every.alias("v"), F.struct("id", "root", "size", "place").alias("x"))
+    y = dealt.where("indexed").select("s", every.alias("u"), own(2).alias("v"), F.struct("id", "root", "size", "place").alias("y"))
+    need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("x.size") + F.col("y.size")) - 1e-9)
+    ok = (
+        (F.col("x.root") != F.col("y.root"))
+        & ((F.col("y.size") < F.col("x.size")) | ((F.col("y.size") == F.col("x.size")) & (F.col("y.id") < F.col("x.id"))))
+        & (F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) >= need)
+    )
+    return x.join(y, ["s", "u", "v"]).where(ok).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
@@ -213,6 +281,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     Repeated rows count once.  If several texts have one id, the id is in the
     groups of all of them.  Ids are whole numbers.
     """
+    with C.scratch(docs.sparkSession):
+        found = _grouped(docs, id_col, text_col, threshold, miss)
+        return C.materialize(found.select(F.col("id").alias(id_col), F.col("root").alias("kept_id")).distinct(), "groups", keep=True)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, miss: float) -> DataFrame:
     signed = C.materialize(signatures(docs, id_col, text_col), "signatures")
     # Texts with the same words in the same order are one node from here on.
     same = signed.groupBy("whole").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
@@ -228,11 +302,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     first = C.materialize(_prune(stars, sigs, threshold, miss).distinct(), "star-pairs")
     edges = C.materialize(_exact(first, docs, id_col, text_col, threshold).select("a", "b"), "star-edges")
     roots = C.materialize(components(edges), "star-roots")
-    second = C.materialize(_rest(buckets.select("id", "band"), sigs, roots, threshold, miss), "rest-pairs")
+    rest = _rest(buckets.select("id", "band"), roots, docs, id_col, text_col, threshold)
+    second = C.materialize(_prune(rest, sigs, threshold, miss).distinct(), "rest-pairs")
     more = _exact(second, docs, id_col, text_col, threshold).select("a", "b")
-    whole = edges.union(more).union(twins.selectExpr("rep", "id"))
-    out = components(whole).where("id <> root")
-    return out.select(F.col("id").alias(id_col), F.col("root").alias("kept_id")).distinct()
+    return components(edges.union(more).union(twins.selectExpr("rep", "id"))).where("id <> root")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:

@@ -117,6 +117,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     """
     if not 0 < capacity < 1 << 20:
         raise ValueError("a bin's capacity is from 1 to about a million")
+    with C.scratch(docs.sparkSession):
+        return _packed(docs, id_col, text_col, length, capacity)
+
+
+def _packed(docs: DataFrame, id_col: str, text_col: str, length: Column | None, capacity: int) -> DataFrame:
     spark = docs.sparkSession
     size = n_words(F.col(text_col)) if length is None else F.coalesce(length, F.lit(0))
     sizes = C.materialize(docs.select(F.col(id_col).alias("id"), size.cast("long").alias("n")).where("n > 0"), "sizes")
@@ -137,7 +142,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
             at += b.num_rows
             before = int(sums[-1]) if b.num_rows else before
 
-    numbered = C.materialize(ranged.mapInArrow(number, f"id {kind}, full long, rest int, part int, at long, before long"), "numbered")
+    numbered = C.materialize(ranged.mapInArrow(number, f"id {kind}, full long, rest int, part int, at long, before long"), "numbered", keep=True)
     # A row for each task and for each length: tasks are ranges of lengths.
     told = numbered.groupBy("part", "rest").agg(F.count(F.lit(1)), F.sum("full")).collect()
     groups = sorted(map(tuple, told), key=lambda r: (r[0], -r[1]))

@@ -2,8 +2,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from lexigrid.llm import arrowtext as A
 from lexigrid.llm import neardup as N
 from tests.llm.conftest import rows, words
 
@@ -13,24 +15,35 @@ def shingle_set(text):
     return set(zip(w, w[1:])) if len(w) >= N.SHINGLE else {tuple(w)} if w else set()
 
 
-def brute(docs, threshold=N.THRESHOLD):
-    items = [(r.doc_id, shingle_set(r.text)) for r in docs.collect() if r.doc_id is not None and r.text is not None]
-    items = [x for x in items if x[1]]
-    root = {i: i for i, _ in items}
+def components_of(ids, pairs):
+    root = {i: i for i in ids}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for k, (a, x) in enumerate(items):
-        for b, y in items[:k]:
-            if min(len(x), len(y)) >= threshold * max(len(x), len(y)) and (n := len(x & y)) and n / (len(x) + len(y) - n) >= threshold:
-                p, q = find(a), find(b)
-                root[max(p, q)] = min(p, q)
+    for a, b in pairs:
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
     return sorted((i, find(i)) for i in root if find(i) != i)
 
 
+def brute(docs, threshold=N.THRESHOLD, banded=False):
+    """Groups of all pairs that reach the threshold; ``banded``: of those that share a band and pass every batch's bound."""
+    items = [(r.doc_id, shingle_set(r.text), r.text) for r in docs.collect() if r.doc_id is not None and r.text is not None]
+    items = [x for x in items if x[1]]
+    sig = N.sign(*A.shingles(*A.words(*A.flat(pa.array([x[2] for x in items]))), N.SHINGLE)) if banded else None
+    pairs = []
+    for k, (a, x, _) in enumerate(items):
+        for j, (b, y, _) in enumerate(items[:k]):
+            if min(len(x), len(y)) >= threshold * max(len(x), len(y)) and (n := len(x & y)) and n / (len(x) + len(y) - n) >= threshold:
+                same = x == y or not banded
+                if same or (sig[k] == sig[j]).reshape(-1, N.ROWS).all(axis=1).any() and N.survives(sig[k : k + 1], sig[j : j + 1], N.least_matches()).all():
+                    pairs.append((a, b))
+    return components_of([x[0] for x in items], pairs)
+
+
 def corpus(make):
     """Groups of copies with some words changed, from clearly above the threshold to clearly below."""
     r, out = random.Random(3), []
@@ -44,14 +57,41 @@ def corpus(make):
 
 def test_against_brute_force(make):
     docs = corpus(make)
-    want, got = set(brute(docs)), set(rows(N.groups(docs)))
-    assert len(want) > 20 and len(want & got) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
+    got, want, all_ = rows(N.groups(docs)), brute(docs, banded=True), brute(docs)
+    assert got == want and len(set(all_) & set(got)) >= 0.98 * len(all_) > 20
 
 
 def test_driver_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    want, got = set(brute(docs)), set(rows(N.groups(docs)))
-    assert len(want & got) >= 0.95 * len(want) and len(got - want) <= 0.05 * max(20, len(want))
+    assert rows(N.groups(docs)) == brute(docs, banded=True) == brute(docs)
+
+
+@pytest.mark.parametrize("sent, block", [(N.SENT, N.BLOCK), (0, 8)])
+def test_pages_of_one_template(make, monkeypatch, sent, block):
+    """Pages that share most words are in the same buckets and below the threshold; copies among them are found, whatever way they go."""
+    monkeypatch.setattr(N, "SENT", sent)
+    monkeypatch.setattr(N, "BLOCK", block)
+    r, base = random.Random(4), words(9, 62, 10**6)
+    own = [f"{base} {words(100 + i, 38, 10**6)}" for i in range(240)]
+    short = [f"{words(9, r.choice([6, 8, 9]), 10**6)} {words(500 + i, 3, 60)}" for i in range(120)]
+    docs = make(list(enumerate([*own, *(f"{t} {words(7, 9, 10**6)}" for t in own[:200:9]), *short])))
+    pools, sharing = [], N._sharing
+    monkeypatch.setattr(N, "_sharing", lambda sets, pool, t: pools.append(sharing(sets, pool, t)) or pools[-1])
+    got = rows(N.groups(docs))
+    assert got == brute(docs, banded=True) and len(got) > 20 and len(pools) == 1
+
+
+def test_prefixes_lose_no_pair(spark, monkeypatch):
+    r, ids = random.Random(8), range(150)
+    sets = {i: sorted(r.sample(range(60), r.randint(1, 14))) for i in ids}
+    for i in range(2, 150, 3):  # some near copies
+        sets[i] = sorted({*r.sample(sets[i - 2], max(1, len(sets[i - 2]) - 2)), *r.sample(range(60), r.randint(0, 2))})
+    pool = spark.createDataFrame([(i, i // 2) for i in ids], "id long, root long")
+    monkeypatch.setattr(N, "FEW", 2)
+    for t in (0.3, 0.6, 0.8):
+        got = set(rows(N._sharing(spark.createDataFrame(list(sets.items()), "id long, set array<long>"), pool, t)))
+        want = {(a, b) for b in ids for a in range(b) if a // 2 != b // 2 and len(set(sets[a]) & set(sets[b])) >= t * len(set(sets[a]) | set(sets[b]))}
+        assert want <= got and len(want) > 5 and all(a < b for a, b in got)
 
 
 def test_a_hot_group_is_one_group(make):
