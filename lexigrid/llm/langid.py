@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as A
 
-#: Bounds of the labelled sample: texts a language, bytes of one text, bytes of a dictionary.
-SAMPLE_DOCS, SAMPLE_TEXT, DICT_BYTES = 256, 16 << 10, 96 << 10
+#: Bound of the labelled sample: bytes of a language's dictionary, and of the parts of texts that it is made of.
+DICT_BYTES, PART = 96 << 10, 768
 BLOCK, LEVEL, MARGIN = 4096, 6, 0.01
 UNKNOWN = "und"
 
@@ -35,30 +35,49 @@ def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], np.cumsum(keep)])[o]
 
 
-def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """One dictionary for each language, from whole texts of a bounded sample of labelled rows.
+def fit_dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+    """One dictionary for each language, from parts of all its labelled texts.
 
-    The sample takes the ``SAMPLE_DOCS`` rows of each language with the lowest
-    hash of their id.  Rows with a null id, text or label don't take part; an
-    empty table gives no dictionaries.
+    Every text, however long, is cut into parts of ``PART`` bytes; of a
+    language's distinct parts those with the lowest hashes, as many as fill
+    ``DICT_BYTES``, are its dictionary.  A task sends at most that much a
+    language.  Rows with a null text or label don't take part; an empty table
+    gives no dictionaries.
     """
-    w = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), F.col(id_col))
-    ids = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, lang_col)
-    picked = [r[0] for r in ids.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= SAMPLE_DOCS).select(id_col).collect()]
-    rows = (
-        docs.where(F.col(id_col).isin(picked) & (F.octet_length(text_col) <= SAMPLE_TEXT) & (F.length(text_col) > 0) & F.col(lang_col).isNotNull())
-        .select(lang_col, F.xxhash64(id_col).alias("_h"), id_col, F.encode(text_col, "UTF-8").alias("_t"))
-        .collect()
-        if picked
-        else []
-    )
-    parts: dict[str, bytearray] = {}
-    for lang, _, _, text in sorted(rows, key=lambda r: (r[0], r[1], r[2], bytes(r[3]))):
-        have = parts.setdefault(lang, bytearray())
-        text = letters(pa.array([bytes(text).decode()]))[0].tobytes()
-        if len(have) + len(text) < DICT_BYTES:
-            have += text + b"\n"
-    return {k: bytes(v) for k, v in sorted(parts.items()) if len(v) >= 8}
+    slim = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    most = DICT_BYTES // PART
+
+    def lowest(batches):
+        import heapq
+
+        import xxhash
+
+        held: dict[str, tuple[list[int], dict[int, bytes]]] = {}  # negated hashes as a heap, and parts by hash
+        for b in A.slices(batches, "text"):
+            data, o = letters(A.column(b, "text"))
+            for i, lang in enumerate(A.column(b, "lang").to_pylist()):
+                heap, parts = held.setdefault(lang, ([], {}))
+                for at in range(int(o[i]), int(o[i + 1]), PART):
+                    raw = data[at : min(at + PART, int(o[i + 1]))].tobytes()
+                    h = xxhash.xxh3_64_intdigest(raw) >> 1
+                    if h in parts or (len(heap) >= most and h >= -heap[0]):
+                        continue
+                    parts[h] = raw
+                    heapq.heappush(heap, -h)
+                    if len(heap) > most:
+                        parts.pop(-heapq.heappop(heap))
+        rows = [(lang, h, raw) for lang, (_, parts) in held.items() for h, raw in parts.items()]
+        for k in range(0, len(rows), 10_000):
+            part = list(zip(*rows[k : k + 10_000]))
+            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.string()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.binary())], ["lang", "h", "part"])
+
+    told = slim.mapInArrow(lowest, "lang string, h long, part binary").dropDuplicates(["lang", "h"])
+    first = told.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= most)
+    parts: dict[str, list] = {}
+    for r in first.collect():
+        parts.setdefault(r.lang, []).append((r.n, bytes(r.part)))
+    made = {lang: b"\n".join(p for _, p in sorted(ps)) for lang, ps in sorted(parts.items())}
+    return {lang: raw for lang, raw in made.items() if len(raw) >= 8}
 
 
 def sizes(dictionaries: dict[str, bytes]):

@@ -70,3 +70,34 @@ def test_tie_is_rejected(make):
 def test_one_dictionary(make):
     d = L.fit_dictionaries(make([(1, "abc def ghi " * 5, "aa")]))
     assert tuple(L.identify(make([(1, "zzz")]), d).first()) == (1, "aa", 1.0)
+
+
+def test_long_texts_alone_carry_a_language(make):
+    """A language whose texts are all long has a dictionary, of parts from anywhere in them."""
+    docs = make([(1, text("aa", 1, 60_000), "aa"), *((i, text("bb", i, 30), "bb") for i in range(2, 9)), *((1, text("aa", 1, 60_000), "aa") for _ in range(5))])
+    d = L.fit_dictionaries(docs)
+    assert set(d) == {"aa", "bb"} and 0.9 * L.DICT_BYTES < len(d["aa"]) < 1.1 * L.DICT_BYTES
+    got = {r.doc_id: r.pred_lang for r in L.identify(make([(1, text("aa", 77, 25)), (2, text("bb", 78, 25))]), d).collect()}
+    assert got == {1: "aa", 2: "bb"}
+
+
+def test_query_against_plain_python(spark):
+    """Every row's language and margin, from sizes under each dictionary taken text by text."""
+    import re
+
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    d = L.fit_dictionaries(docs)
+    made = {}
+    for lang, raw in d.items():
+        z = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        z.precompute_compress(level=L.LEVEL)
+        made[lang] = zstandard.ZstdCompressor(dict_data=z, level=L.LEVEL, write_content_size=False, write_dict_id=False)
+    want = []
+    for r in docs.collect():
+        plain = re.sub(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", b" ", (r.text or "").lower().encode())
+        size = sorted((sum(len(z.compress(plain[i : i + L.BLOCK])) for i in range(0, len(plain), L.BLOCK)), lang) for lang, z in made.items())
+        gap = (size[1][0] - size[0][0]) / size[0][0] if plain else 0.0
+        want.append((r.doc_id, size[0][1] if gap >= L.MARGIN else "und", round(gap, 6)))
+    assert rows(L.identify(docs, d)) == sorted(want)
