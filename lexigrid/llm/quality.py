@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from . import arrowtext as A
 
-#: Bounds of the sample on which costs and selectivities are estimated: rows, share of the rows read, bytes of one text.
-SAMPLE_ROWS, SAMPLE_SHARE, SAMPLE_TEXT = 1000, 0.1, 64 << 10
+#: About so many rows are the sample on which costs and selectivities are estimated.
+SAMPLE_ROWS = 1000
 SYMBOLS = "#%&*$|<>{}^~=_"
 MAX_SYMBOLS, MAX_UPPER, MAX_REPEATS, MAX_DUP_LINES, MIN_ALPHA, WORD_LENGTH = 0.08, 0.4, 0.2, 0.4, 0.7, (2.0, 14.0)
 #: Rules on shares of words need this many words to tell anything.
@@ -176,31 +176,41 @@ RULES = (
 )
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str) -> pa.Array:
-    """At most ``SAMPLE_ROWS`` texts, by a hash of their id; as many of the table's first tasks are read as it takes.
-
-    Texts over ``SAMPLE_TEXT`` bytes say little about a row's usual cost and are left out.
-    """
-    few = F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < SAMPLE_SHARE * 1_000_000
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(few)
-    return pa.array([r.text for r in rows.where(f"text is not null and octet_length(text) <= {SAMPLE_TEXT}").limit(SAMPLE_ROWS).collect()], pa.string())
-
-
 def profile(texts: pa.Array, rules=RULES) -> list[tuple[str, float, float]]:
-    """``(name, seconds, share rejected)`` of each rule on the sample."""
+    """``(name, seconds, texts rejected)`` of each rule on some texts."""
     data, o = A.flat(texts)
     out = []
     for rule in rules:
-        best, share = float("inf"), 0.0
-        for _ in range(3):
+        best, hits = float("inf"), 0
+        for _ in range(2):
             began = time.thread_time()
             rejected = rule.reject(Texts(data, o)) if len(texts) else np.zeros(0, bool)
             best = min(best, time.thread_time() - began)
-            share = float(rejected.mean()) if len(texts) else 0.0
-        out.append((rule.name, max(1e-7, best), share))
+            hits = int(rejected.sum())
+        out.append((rule.name, max(1e-7, best), hits))
     return out
 
 
+def sampled(docs: DataFrame, id_col: str, text_col: str, rules=RULES) -> list[tuple[str, float, float]]:
+    """``(name, seconds, share rejected)`` of each rule on about ``SAMPLE_ROWS`` rows, chosen over the whole table by a hash of id and text.
+
+    The tasks time the rules where the texts are, whole texts of any length;
+    only sums leave them.
+    """
+    share = int((1 << 31) * min(1.0, SAMPLE_ROWS / max(1, docs.count())))
+    drawn = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 31)) < share
+    few = docs.where(F.col(text_col).isNotNull() & drawn).select(F.col(text_col).alias("text"))
+
+    def run(batches):
+        for b in A.slices(batches, "text"):
+            told = profile(A.column(b, "text"), rules)
+            yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in told]), pa.array([t[1] for t in told]), pa.array([t[2] for t in told], pa.int64()), pa.array([b.num_rows] * len(told), pa.int64())], ["name", "seconds", "hits", "n"])
+
+    rows = few.mapInArrow(run, "name string, seconds double, hits long, n long").groupBy("name").agg(F.sum("seconds").alias("seconds"), F.sum("hits").alias("hits"), F.sum("n").alias("n")).collect()
+    told = {r.name: r for r in rows}
+    return [(r.name, told[r.name].seconds, told[r.name].hits / told[r.name].n) if r.name in told else (r.name, 1.0, 0.0) for r in rules]
+
+
 def ordered(profiled: list[tuple[str, float, float]], rules=RULES) -> list[Rule]:
     """The rules by rejection per cost, highest first; ties keep the given order."""
     worth = {name: share / cost for name, cost, share in profiled}
@@ -244,7 +254,7 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=
     Null, empty and blank texts are rejected (rule ``blank``).  Repeated rows
     are judged alike; a null id changes nothing.  An empty table stays empty.
     """
-    rules = ordered(profile(sample(docs, id_col, text_col), rules), rules)
+    rules = ordered(sampled(docs, id_col, text_col, rules), rules)
     return docs.where(verdict(F.col(text_col), rules).isNull())
 
 

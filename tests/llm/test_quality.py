@@ -71,6 +71,16 @@ def test_order_by_rejection_per_cost():
     assert [r.name for r in got] == ["b", "a", "c", "d"]
 
 
+def test_the_sample_is_of_the_whole_table(make, monkeypatch):
+    """Rows of every part of the table, whole texts of any length among them, are profiled where they are."""
+    monkeypatch.setattr(Q, "SAMPLE_ROWS", 120)
+    docs = make([(i, "#" * 9) for i in range(300)] + [(i, words(i, 30)) for i in range(300, 600)] + [(None, words(7, 60_000)), (1, None)]).repartition(7)
+    told = {name: (seconds, share) for name, seconds, share in Q.sampled(docs, "doc_id", "text")}
+    assert set(told) == {r.name for r in Q.RULES} and 0 < told["symbols"][1] <= 1 and all(s > 0 for s, _ in told.values())
+    monkeypatch.setattr(Q, "SAMPLE_ROWS", 10**6)
+    assert dict((n, round(x * 601)) for n, _, x in Q.sampled(docs, "doc_id", "text"))["symbols"] == 300
+
+
 def test_cascade_stops_at_the_first_rejection():
     """Once a tenth of the texts is rejected, later rules don't get them."""
     seen = []
