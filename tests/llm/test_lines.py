@@ -20,8 +20,10 @@ def brute(rows, ratio, least):
         return [x.strip(" ") for x in re.split(L.TAGS, h or "") if x.strip(" ")] if h is not None else None
 
     def host(u):
-        m = re.match(r"[a-zA-Z]+://([^/?#]*)", u) if u is not None else None
-        return None if u is None else m[1] if m else ""
+        if u is None:
+            return None
+        rest = u.split("//", 1)[1] if re.match(r"([a-zA-Z][\w+.-]*:)?//", u) else u if re.match(r"[\w-]+(\.[\w-]+)+(:\d+)?([/?#]|$)", u) else ""
+        return re.split("[/?#]", rest)[0].split("@")[-1].lower() or None
 
     total, seen = {}, {}
     for _, u, h in rows:
@@ -51,6 +53,19 @@ def test_against_brute_force(spark):
         assert sorted(((r.page_id, r.kept, r.n_dropped) for r in got.collect()), key=repr) == brute(ROWS, ratio, least)
 
 
+def test_hosts(spark):
+    want = {
+        "http://A.example/x": "a.example", "example.com/a": "example.com", "Example.com": "example.com", "//b.example?q": "b.example", "https://u:p@c.example:81/": "c.example:81",
+        "no url": None, "": None, "http:///x": None, "mailto:a@b.example": None, None: None,
+    }
+    got = spark.createDataFrame([(u,) for u in want], "u string").select("u", L.url_host(F.col("u")).alias("h")).collect()
+    assert {r.u: r.h for r in got} == want
+
+
+def test_urls_without_a_host_are_no_site(spark):
+    assert {r.n_dropped for r in run(pages(spark, [(i, "no url", "<p>same</p>") for i in range(9)])).collect()} == {0}
+
+
 def test_a_line_at_the_ratio_stays(spark):
     rows = [(i, "http://a.example", "x" if i < 5 else f"y{i}") for i in range(10)]
     assert {r.n_dropped for r in run(pages(spark, rows), ratio=0.5).collect()} == {0}
