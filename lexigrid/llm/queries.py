@@ -38,12 +38,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.shared_dir(spark, "warc")
     warc.write_records(warc.from_pages(_table(spark, sf_dir, "pages")), path, gzip=True)
     captures = warc.assemble_files(spark, path)
-    first = lambda c: F.decode(F.get(c, F.lit(0)).payload, "UTF-8")
+    # A payload may hold any bytes; what isn't UTF-8 is shown as U+FFFD.
+    shown = lambda payload: F.make_valid_utf8(payload.cast("string"))
+    first = lambda c: shown(F.get(c, F.lit(0)).payload)
     return captures.select(
         "capture_id",
         "target_uri",
         "date",
-        F.decode("response.payload", "UTF-8").alias("response"),
+        shown(F.col("response.payload")).alias("response"),
         first(F.col("requests")).alias("request"),
         first(F.col("metadata")).alias("metadata"),
         (F.size("requests") + F.size("metadata")).alias("n_linked"),

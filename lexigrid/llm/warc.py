@@ -50,33 +50,39 @@ def record_text(record_id: Column, type_: Column, payload: Column, concurrent_to
 
 
 def write_records(records: DataFrame, path: str, gzip: bool = False) -> None:
-    """Write rows of ``SCHEMA`` (payloads are UTF-8 text here) as WARC files, one a partition.
+    """Write rows of ``SCHEMA`` as WARC files, one a partition.
 
     Spark's text sink does it, with the mark that ends a record as its line
-    separator, so a lost task leaves no half file.
+    separator, so a lost task leaves no half file.  Payloads are any bytes: a
+    cast to a string keeps them as they are, and so does the sink.
     """
-    text = record_text(F.col("record_id"), F.col("type"), F.decode("payload", "UTF-8"), F.col("concurrent_to"), F.col("target_uri"), F.col("date"), F.col("content_type"))
+    text = record_text(F.col("record_id"), F.col("type"), F.col("payload").cast("string"), F.col("concurrent_to"), F.col("target_uri"), F.col("date"), F.col("content_type"))
     records.select(text.alias("value")).write.option("lineSep", END).option("compression", "gzip" if gzip else "none").text(path)
 
 
 class _Stream:
-    """Buffered bytes of a file, unzipped if they are gzip members."""
+    """Buffered bytes of a file, unzipped if they are gzip members; what a damaged member holds behind the damage is skipped, up to the next member."""
 
     def __init__(self, file):
-        self.file, self.buf, self.pos, self.over = file, b"", 0, False
+        self.file, self.buf, self.pos, self.over, self.kept = file, b"", 0, False, b""
         head = file.read(2)
         self.unzip = zlib.decompressobj(31) if head == b"\x1f\x8b" else None
         self.feed(head)
 
     def feed(self, raw: bytes) -> None:
         if self.unzip is not None:
-            out = []
+            out, raw, self.kept = [], self.kept + raw, b""
             while raw:
-                out.append(self.unzip.decompress(raw))
-                raw = self.unzip.unused_data
-                if self.unzip.eof:
+                try:
+                    out.append(self.unzip.decompress(raw))
+                    raw = self.unzip.unused_data
+                    if self.unzip.eof:
+                        self.unzip = zlib.decompressobj(31)
+                        raw = raw.lstrip(b"\0")
+                except zlib.error:
                     self.unzip = zlib.decompressobj(31)
-                    raw = raw.lstrip(b"\0")
+                    at = raw.find(_MEMBER, 1)
+                    raw, self.kept = (raw[at:], b"") if at > 0 else (b"", raw[-2:] if raw[-2:] in (_MEMBER[:2], b"\0" + _MEMBER[:1]) else b"")
             raw = b"".join(out)
         self.buf = self.buf[self.pos :] + raw
         self.pos = 0
@@ -88,6 +94,15 @@ class _Stream:
             self.feed(raw)
         return bool(raw)
 
+    def skip(self, mark: bytes) -> bool:
+        """Go on behind the next mark; what is before it isn't kept."""
+        while (i := self.buf.find(mark, self.pos)) < 0:
+            self.pos = max(self.pos, len(self.buf) - len(mark) + 1)
+            if not self.more():
+                return False
+        self.pos = i + len(mark)
+        return True
+
     def until(self, mark: bytes) -> bytes | None:
         seen = 0
         while (i := self.buf.find(mark, self.pos + max(0, seen - len(mark)))) < 0:
@@ -113,13 +128,15 @@ class _Stream:
 
 
 _LINE = re.compile(rb"\r?\n(?![ \t])")
+#: How a gzip member begins.
+_MEMBER = b"\x1f\x8b\x08"
 
 
 def parse(file):
-    """Yield ``SCHEMA``'s fields of each record of a binary file; a payload shorter than its Content-Length is marked truncated, bytes between records are skipped."""
+    """Yield ``SCHEMA``'s fields of each record of a binary file; a payload shorter than its Content-Length is marked truncated, bytes between records are skipped, and so is a file that has none."""
     s = _Stream(file)
     while True:
-        if s.until(b"WARC/1.") is None:
+        if not s.skip(b"WARC/1."):
             return
         head = s.until(END.encode())
         if head is None:
@@ -171,16 +188,17 @@ def read_records(spark: SparkSession, path: str, tasks: int | None = None, types
                 if uri.startswith("file:"):
                     system, at = fs.LocalFileSystem(), unquote(re.sub("^file:/+", "/", uri))
                 else:
-                    system, at = fs.FileSystem.from_uri(uri)
+                    system, at = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
                 with system.open_input_stream(at, compression=None) as f:
                     yield from _batches(wanted(parse(f)))
 
-    return files.repartition(n, "path").mapInArrow(run, SCHEMA)
+    # One file a task: dealt in turn, not by a hash, which would leave tasks without a file.
+    return files.repartition(n).mapInArrow(run, SCHEMA)
 
 
 def assemble_files(spark: SparkSession, path: str) -> DataFrame:
-    """``assemble`` of the records under ``path``: the links are read without payloads, each payload once."""
-    return _assembled(read_records(spark, path, payloads=False), read_records(spark, path, types=("response",)), read_records(spark, path, types=("request", "metadata")))
+    """``assemble`` of the records under ``path``; files are read and unzipped once, to a table of which each later step reads the columns it needs."""
+    return assemble(C.materialize(read_records(spark, path), "warc-records"))
 
 
 def assemble(records: DataFrame) -> DataFrame:

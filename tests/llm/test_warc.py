@@ -67,3 +67,20 @@ def test_parse_members_junk_and_truncation():
     members = gzip.compress(record("request", b"one")) + gzip.compress(record("response", b"two" * 100_000))
     assert [(r[1], len(r[6])) for r in W.parse(io.BytesIO(members))] == [("request", 3), ("response", 300_000)]
     assert list(W.parse(io.BytesIO(b""))) == []
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+def test_binary_payloads(spark, tmp_path, zipped):
+    raw = b"\x89PNG\r\n\x1a\n\r\n\r\n\xff\xfe\x00" + bytes(range(256)) * 50
+    W.write_records(records(spark, [("r", "response", [], raw), ("q", "request", ["r"], b"\xc3(")]).coalesce(1), f"file://{tmp_path}/w", gzip=zipped)
+    got = W.assemble_files(spark, f"file://{tmp_path}/w").collect()
+    assert [(bytes(r.response.payload), bytes(r.requests[0].payload)) for r in got] == [(raw, b"\xc3(")]
+
+
+def test_damaged_members_and_other_files():
+    one, two, three = (gzip.compress(record("response", x * 2000, rid=f"<{k}>")) for k, x in enumerate((b"a", b"bc", b"d")))
+    hurt = two[: len(two) // 2] + b"\xff" * 40 + two[len(two) // 2 + 40 :]
+    ids = [r[0] for r in W.parse(io.BytesIO(one + hurt + three))]
+    assert ids[0] == "<0>" and ids[-1] == "<2>"
+    assert list(W.parse(io.BytesIO(b"no archive at all " * 500_000))) == []
+    assert list(W.parse(io.BytesIO(gzip.compress(b"nothing")[:-6] + b"??"))) == []
