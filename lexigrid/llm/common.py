@@ -23,11 +23,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if base is None:
         if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="lexigrid-")
+        base = f"file://{tempfile.mkdtemp(prefix='lexigrid-')}"
         sc.setCheckpointDir(base)
-        base = f"file://{base}"
-    if "://" not in base and base.startswith("/") and sc.master.startswith("local"):
-        base = f"file://{base}"
+    # The file system is part of the path from here on: to other readers a bare path is local, to Spark it may not be.
+    at = spark._jvm.org.apache.hadoop.fs.Path(base)
+    base = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
     return f"{base.rstrip('/')}/lexigrid-{uuid.uuid4().hex}-{name}"
 
 

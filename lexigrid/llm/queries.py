@@ -27,6 +27,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model: str = spm.MODEL)
     return ids.withColumn("decoded", spm.decode(F.col("ids"), p))
 
 
+def sentencepiece_viterbi(spark: SparkSession, sf_dir: str, model: str = spm.MODEL) -> DataFrame:
+    """The pieces of op3's model read as a Unigram model: for each text the path of the highest sum of scores."""
+    return spm.encode(_table(spark, sf_dir, "documents"), spm.unigram(spm.load(model)))
+
+
 def op4_token_orc(spark: SparkSession, sf_dir: str, ranks_file: str = tokenorc.RANKS) -> DataFrame:
     tokens = tokenorc.tokenize(_table(spark, sf_dir, "documents"), ranks_file=ranks_file)
     path = common.shared_dir(spark, "orc")
@@ -78,7 +83,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_exact_dedup, op3_sentencepiece, op4_token_orc, op5_warc, op6_best_fit_packing, op7_quality_rules, op8_line_dedup, op9_pii, op10_near_dedup)
+    for f in (op1_language_id, op2_exact_dedup, op3_sentencepiece, sentencepiece_viterbi, op4_token_orc, op5_warc, op6_best_fit_packing, op7_quality_rules, op8_line_dedup, op9_pii, op10_near_dedup)
 }
 
 ORACLE = {

@@ -11,15 +11,19 @@ scores.  For a BPE model a path's score isn't what the model maximizes, so
 there the fold goes over the same edges in the order of their merge rank and
 merges the two pieces under an edge whenever they are just two; this gives the
 ids of the model's own library, which the highest-scoring path doesn't.
-
-Texts are never shuffled.  A word remembers which input files it is from; the
-encoded words are written once as one small dictionary for each file, and a
-second pass over the texts looks its words up in the dictionary of its own
-file.  What a worker holds is thus bounded by a file, whatever the table.
+``unigram`` reads a model's pieces and scores as a Unigram model's.
+
+Texts are never shuffled.  A word remembers which parts of input files (a
+task's splits) it is from; the encoded words are written once as one small
+dictionary for each part, and a second pass over the texts looks its words up
+in the dictionary of its own part.  What a worker holds is thus bounded by a
+split, whatever the table.  Texts that don't come straight from files are
+written to some first.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import heapq
 from dataclasses import dataclass
 
@@ -40,6 +44,8 @@ UNIGRAM, BPE = 1, 2
 _UNSEEN_PENALTY = 10.0
 #: Bytes of the texts that a worker encodes at a time; its largest temporary arrays have eight times as many.
 SLICE_BYTES = 4 << 20
+#: Bytes of input files for which there is a task of words, and the most of these tasks.
+TASK_BYTES, MOST_TASKS = 16 << 20, 50_000
 
 
 @dataclass(frozen=True)
@@ -110,6 +116,11 @@ def load(path: str = MODEL) -> Pieces:
     )
 
 
+def unigram(p: Pieces) -> Pieces:
+    """The same pieces and scores as a Unigram model, whose encoding is the path of the highest sum of scores."""
+    return dataclasses.replace(p, kind=UNIGRAM)
+
+
 def joins(p: Pieces) -> np.ndarray:
     """Which byte may be followed, across a character's end, by which in a piece; elsewhere words may be cut."""
     t = np.zeros((256, 256), bool)
@@ -261,9 +272,10 @@ def best_path(word: str, ranks: dict[str, tuple[int, float]], p: Pieces) -> list
     """Ids of a word of any length by Viterbi."""
     low = min((x[1] for x in ranks.values()), default=0.0) - _UNSEEN_PENALTY
     best: list[tuple[float, int, int]] = [(0.0, -1, -1)]
+    longest = p.longest
     for e in range(1, len(word) + 1):
         top = None
-        for s in range(max(0, e - p.longest), e):
+        for s in range(max(0, e - longest), e):
             x = ranks.get(word[s:e], (-1, low) if e - s == 1 else None)
             if x is not None and (top is None or best[s][0] + x[1] > top[0]):
                 top = (best[s][0] + x[1], s, x[0])
@@ -293,7 +305,11 @@ def encode(docs: DataFrame, p: Pieces, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     table = joins(p)
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.input_file_name()).alias("f"))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if not _from_files(slim):
+        slim = C.materialize(slim, "texts")
+    size = int(str(slim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    slim = slim.withColumn("f", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
     prefix = p.prefix
 
     def words(batches):
@@ -304,8 +320,8 @@ def encode(docs: DataFrame, p: Pieces, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), key)), u], ["f", "word"])
 
     # One exchange by word serves the grouping, the lattice and its folding.  A word is some bytes here and dozens of
-    # edges later, so the number of tasks is the session's and isn't made smaller for the bytes.
-    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # edges later, so tasks follow the texts' bytes, and are no fewer than the session's.
+    n_tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, size // TASK_BYTES))
     found = slim.mapInArrow(words, "f long, word string").repartition(n_tasks, "word").groupBy("word").agg(F.collect_set("f").alias("fs"))
     short = fold(lattice(found.where(F.length("word") <= LATTICE_CHARS), p, "fs"), p)
     where = C.shared_dir(spark, "dictionaries")
@@ -322,12 +338,12 @@ def encode(docs: DataFrame, p: Pieces, id_col: str = "doc_id", text_col: str = "
         held: dict = {}
         for b in batches:
             for key, part in _by_file(b):
-                if key not in held:
-                    held = {key: _dictionary(where, key)}
-                dict_words, values, offsets = held[key]
                 for s in A.slices([part], "text", SLICE_BYTES):
                     text = A.column(s, "text")
                     u, r = units(text, table, prefix)
+                    if len(u) and key not in held:
+                        held = {key: _dictionary(where, key)}
+                    dict_words, values, offsets = held[key] if len(u) else (pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int64))
                     code = pc.dictionary_encode(u)
                     kinds = code.dictionary
                     at = pc.index_in(kinds, value_set=dict_words)
@@ -356,19 +372,37 @@ def _by_file(batch: pa.RecordBatch):
         yield key, batch if len(keys) == 1 else batch.filter(pc.equal(f, key))
 
 
-def _dictionary(where: str, key: int):
-    """Words, ids and offsets of one file's dictionary."""
+def _from_files(df: DataFrame) -> bool:
+    """Whether rows come straight from files, so that each knows its own."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in ("Project", "Filter") and not (node.children().isEmpty() and "Relation" in node.nodeName()):
+            return False
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return bool(df.inputFiles())
+
+
+def _system(where: str):
+    """A file system of the workers for Spark's folder, and the path in it."""
     import re
 
-    import pyarrow.parquet as pq
     from pyarrow import fs
 
     if where.startswith("file:"):
-        system, at = fs.LocalFileSystem(), re.sub("^file:/+", "/", where)
-    else:
-        system, at = fs.FileSystem.from_uri(where)
-    at = f"{at}/f={key}"
-    infos = system.get_file_info(fs.FileSelector(at, allow_not_found=True))
+        return fs.LocalFileSystem(), re.sub("^file:/+", "/", where)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", where))
+
+
+def _dictionary(where: str, key: int):
+    """Words, ids and offsets of the dictionary of one part of the input; a part whose words are all too long for the lattice has none."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, at = _system(where)
+    if system.get_file_info(at).type == fs.FileType.NotFound:
+        raise FileNotFoundError(f"workers don't see {where}")
+    infos = system.get_file_info(fs.FileSelector(f"{at}/f={key}", allow_not_found=True))
     parts = [pq.read_table(i.path, filesystem=system, columns=["word", "ids"]) for i in infos if i.path.endswith(".parquet")]
     parts = [t.filter(pc.is_valid(t.column("ids"))) for t in parts]
     t = pa.concat_tables(parts).combine_chunks() if parts else pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
@@ -377,7 +411,11 @@ def _dictionary(where: str, key: int):
 
 
 def decode(ids: Column, p: Pieces) -> Column:
-    """The text of piece ids, as a Column: pieces and bytes are laid end to end, spaces restored and the one put before the text taken off; control ids have no text."""
+    """The text of piece ids, as a Column: pieces and bytes are laid end to end, spaces restored and the one put before the text taken off.
+
+    Control ids and ids that the model doesn't have give no text; bytes that
+    aren't UTF-8 become U+FFFD; null ids give null.
+    """
     import json
 
     raw = []
@@ -387,5 +425,5 @@ def decode(ids: Column, p: Pieces) -> Column:
         else:
             raw.append(s.replace(SPACE, " ").encode().hex() if u else "e28187" if i == p.unk else "")
     table = F.from_json(F.lit(json.dumps(raw)), "array<string>")
-    text = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")), "UTF-8")
+    text = F.make_valid_utf8(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")).cast("string"))
     return F.when(text.startswith(" "), F.substr(text, F.lit(2))).otherwise(text) if p.prefix else text

@@ -34,6 +34,87 @@ def test_driver_documents(spark, library):
         assert r.decoded == texts[r.doc_id]
 
 
+@pytest.fixture(scope="module")
+def viterbi_library(library):
+    """The library with the same pieces as a Unigram model: the model file with another model type."""
+    import sentencepiece
+
+    raw, i, out = library.serialized_model_proto(), 0, b""
+
+    def varint(b, i):
+        v = s = 0
+        while True:
+            v |= (b[i] & 127) << s
+            s, i = s + 7, i + 1
+            if b[i - 1] < 128:
+                return v, i
+
+    def number(n):
+        return bytes([n & 127 | 128]) + number(n >> 7) if n > 127 else bytes([n])
+
+    while i < len(raw):
+        start = i
+        tag, i = varint(raw, i)
+        n, i = varint(raw, i)
+        i += n
+        if tag >> 3 == 2:  # the trainer's settings; of a field given twice the last one counts
+            body = raw[i - n : i] + b"\x18\x01"
+            out += number(tag) + number(len(body)) + body
+        else:
+            out += raw[start:i]
+    return sentencepiece.SentencePieceProcessor(model_proto=out)
+
+
+def score(ids, text):
+    """The score of a path: of its pieces, and of each character spelled in bytes that of an unknown one."""
+    low = min(x for x, u in zip(P.scores, P.usable) if u) - 10
+    spelled = bytes(i - P.byte0 for i in ids if P.byte0 <= i < P.byte0 + 256).decode()
+    return sum(P.scores[i] for i in ids if not P.byte0 <= i < P.byte0 + 256) + low * len(spelled)
+
+
+def test_viterbi_against_the_library(make, library, viterbi_library):
+    """The best of the library's n best paths; its quick search misses some of these."""
+    got = {r.doc_id: list(r.ids) for r in S.encode(make([(i, t) for i, t in enumerate(TEXTS) if t and len(t) < 200]), S.unigram(P)).collect()}
+    for i, ids in got.items():
+        assert score(ids, TEXTS[i]) == pytest.approx(score(viterbi_library.nbest_encode_as_ids(TEXTS[i], 3)[0], TEXTS[i])), TEXTS[i]
+        assert viterbi_library.decode(ids) == library.decode(library.encode(TEXTS[i]))
+    assert any(ids != library.encode(TEXTS[i]) for i, ids in got.items())
+
+
+def test_viterbi_query(spark):
+    """Whole texts, against Viterbi over each text at once, which knows no words."""
+    from lexigrid.llm.queries import sentencepiece_viterbi
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    ranks = {s: (i, x) for i, (s, x, u) in enumerate(zip(P.pieces, P.scores, P.usable)) if u}
+    rows_ = sentencepiece_viterbi(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows_) == len(texts)
+    for r in rows_:
+        if texts[r.doc_id] and len(texts[r.doc_id]) < 3000:
+            want = S.best_path(f" {texts[r.doc_id]}".replace(" ", S.SPACE), ranks, P)
+            assert score(r.ids, None) == pytest.approx(score(want, None), rel=1e-12)
+
+
+def test_behind_a_shuffle_and_from_files(spark, make, tmp_path, library):
+    """Texts from files, of which each task has a part, and texts behind a shuffle give the same ids."""
+    texts = [words(i, 300, 26**4) for i in range(60)]
+    make(list(enumerate(texts))).coalesce(2).write.option("parquet.block.size", 16_000).parquet(f"{tmp_path}/t")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        docs = spark.read.parquet(f"{tmp_path}/t")
+        assert S._from_files(docs.where("doc_id >= 0").select("doc_id", "text")) and not S._from_files(docs.repartition(3, "doc_id")) and docs.rdd.getNumPartitions() > 4
+        for frame in (docs, docs.repartition(3, "doc_id"), docs.groupBy("doc_id").agg(F.max("text").alias("text"))):
+            assert {r.doc_id: list(r.ids) for r in S.encode(frame, P).collect()} == {i: library.encode(t) for i, t in enumerate(texts)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_decoding_of_malformed_ids(spark):
+    df = spark.createDataFrame([(0, [P.byte0 + 0xC3]), (1, [P.byte0 + 0xC3, P.byte0 + 0xA9]), (2, [10**6, 1]), (3, []), (4, None), (5, [P.byte0 + 0xFF, P.byte0 + 65])], "i int, ids array<int>")
+    got = {r.i: r.t for r in df.select("i", S.decode(F.col("ids"), P).alias("t")).collect()}
+    assert got == {0: "\ufffd", 1: "é", 2: "", 3: "", 4: None, 5: "\ufffdA"}
+
+
 def test_round_trip(make):
     df = S.encode(make(list(enumerate(TEXTS))), P).withColumn("t", S.decode(F.col("ids"), P))
     got = {r.doc_id: r.t for r in df.collect()}
