@@ -46,7 +46,7 @@ def scratch(spark: SparkSession):
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it again: later readers recompute nothing, and a lost executor takes nothing with it.
 
     Within ``scratch`` the table is deleted at the scope's end; with ``keep``
@@ -56,7 +56,7 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     scopes = _SCOPES[:-1] if keep else _SCOPES
     if scopes:
         scopes[-1].append(path)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -198,7 +198,7 @@ def read_records(spark: SparkSession, path: str, tasks: int | None = None, types
 
 def assemble_files(spark: SparkSession, path: str) -> DataFrame:
     """``assemble`` of the records under ``path``; files are read and unzipped once, to a table of which each later step reads the columns it needs."""
-    return assemble(C.materialize(read_records(spark, path), "warc-records"))
+    return assemble(C.materialize(read_records(spark, path), "warc-records", codec="zstd"))
 
 
 def assemble(records: DataFrame) -> DataFrame:
