@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowtext as A
+from . import common as C
 
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SECRET", "SSN", "IBAN")
 #: Bounds of what the model is fitted on: made documents, the table's passages, and characters of a passage.
@@ -625,8 +626,12 @@ def fit_on(docs: DataFrame, text_col: str = "text") -> Model:
             part = sorted(chosen)[k : k + 500]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([chosen[h] for h in part], pa.string())], ["h", "p"])
 
-    told = slim.mapInArrow(lowest, "h long, p string").dropDuplicates(["h"]).orderBy("h").limit(SAMPLE_PASSAGES).collect()
-    return fit([r.p for r in told])
+    with C.scratch(docs.sparkSession):
+        told = C.materialize(slim.mapInArrow(lowest, "h long, p string"), "passages")
+        # Hashes alone are ordered; then only the sample's passages go to the driver.
+        last = told.select("h").distinct().orderBy("h").limit(SAMPLE_PASSAGES).agg(F.max("h")).first()[0]
+        rows = told.where(F.col("h") <= last).dropDuplicates(["h"]).collect() if last is not None else []
+    return fit([r.p for r in sorted(rows)])
 
 
 def _with_evidence(data: np.ndarray, o: np.ndarray) -> np.ndarray:
