@@ -14,7 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.errors import NotAllowedValue, UnsupportedType
+from ..functions.flat import PRIME
 from ..plans.store import sized
 
 # Tokenizers
@@ -118,7 +120,7 @@ def infer(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
 
 def _uniform(seed: int, *key: str) -> Column:
     """A number in [0, 1) that depends on the row's key only, however the table is partitioned."""
-    return F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return T.draw_base(*key, F.lit(seed)) / F.lit(float(PRIME))
 
 
 def mask_tokens(tokens: DataFrame, mask_id: int, vocab_size: int, probability: float = 0.15, seed: int = 0, key: Sequence[str] = ("doc_id", "pos")) -> DataFrame:
@@ -152,15 +154,15 @@ def next_sentence_pairs(docs: DataFrame, seed: int = 0, id_col: str = "doc_id",
     w = Window.partitionBy(id_col).orderBy("line_id")
     parts = at.withColumn("part", F.sum("blank").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("blank = 0")
     pw = Window.partitionBy(id_col, "part").orderBy("line_id")
-    pairs = parts.select(id_col, F.col("part").cast("int").alias("part"), F.col("line_id").alias("at"), F.trim("line").alias("first"), F.trim(F.lead("line").over(pw)).alias("true")).where("true is not null")
-    h = F.xxhash64(F.col(id_col), F.col("at"), F.lit(seed))
+    pairs = parts.select(id_col, F.col("part").cast("int").alias("part"), F.col("line_id").alias("at"), F.trim("line").alias("first"), F.trim(F.lead("line").over(pw)).alias("next")).where(F.col("next").isNotNull())
+    h = T.draw_base(id_col, "at", F.lit(seed))
     buckets = max(1, docs.count() // 100)
     dealt = pairs.withColumn("_h", h).withColumn("_bucket", F.pmod("_h", F.lit(buckets)))
     ring = Window.partitionBy("_bucket").orderBy("_h", id_col, "at")
-    other = F.coalesce(F.lead("true").over(ring), F.lag("true").over(ring))
+    other = F.coalesce(F.lead("next").over(ring), F.lag("next").over(ring))
     swap = (_uniform(seed + 1, id_col, "at") < 0.5) & other.isNotNull()
     out = dealt.withColumn("_o", other).withColumn("_s", swap)
-    return out.select(id_col, "part", "at", "first", F.when(F.col("_s"), F.col("_o")).otherwise(F.col("true")).alias("second"), F.col("_s").cast("int").alias("label"))
+    return out.select(id_col, "part", "at", "first", F.when(F.col("_s"), F.col("_o")).otherwise(F.col("next")).alias("second"), F.col("_s").cast("int").alias("label"))
 
 
 def label_ids(rows: DataFrame, label_col: str = "label", order: Sequence | None = None) -> DataFrame:
@@ -226,9 +228,42 @@ def top_tokens(scores: Column, k: int) -> Column:
     return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda p: F.struct(p.id.alias("id"), (-p.n).alias("score")))
 
 
+def best_answers(logits: DataFrame, widest: int = 30, key: Sequence[str] = ("example_id",)) -> DataFrame:
+    """``(key, chunk, start, end, score)``: of ``(key, chunk, start_logits, end_logits)`` the span of at most ``widest`` tokens with the highest sum.
+
+    All chunks of an example compete; equal sums go by chunk, start, end.
+    Each start meets the ends within its reach only.
+    """
+    n = F.size("start_logits")
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def best(s: Column) -> Column:
+        ends = F.slice("end_logits", s + 1, F.lit(widest))
+        top = F.array_max(ends)
+        return F.struct((-(F.get("start_logits", s) + top)).alias("loss"), s.alias("start"), (s + F.array_position(ends, top).cast("int") - 1).alias("end"))
+
+    one = logits.select(*key, "chunk", F.array_min(F.transform(places, best)).alias("b")).where("b is not null")
+    found = one.groupBy(*key).agg(F.min(F.struct("b.loss", "chunk", "b.start", "b.end")).alias("x"))
+    return found.select(*key, "x.chunk", "x.start", "x.end", (-F.col("x.loss")).alias("score"))
+
+
+def fill_mask(logits: DataFrame, vocab: DataFrame, k: int = 5, key: Sequence[str] = ("example_id",)) -> DataFrame:
+    """``(key, rank, token, probability)``: the k likeliest tokens ``(token, id)`` of a masked place, from its array of ``logits``."""
+    top = logits.select(*key, F.posexplode(top_tokens(class_scores(F.col("logits")), k)).alias("rank", "t"))
+    named = top.select(*key, (F.col("rank") + 1).alias("rank"), F.col("t.id").alias("id"), F.col("t.score").alias("probability"))
+    return named.join(sized(vocab), "id").select(*key, "rank", "token", "probability")
+
+
 # Coreference
 
 
+def best_antecedents(scores: DataFrame) -> DataFrame:
+    """``(doc_id, mention, antecedent)``: of ``(doc_id, mention, antecedent, score)`` the antecedent of the highest score, the nearest among equals; null where no score is above 0, that of having none."""
+    best = F.min_by("antecedent", F.struct((-F.col("score")).alias("s"), (-F.col("antecedent")).alias("a")))
+    found = scores.groupBy("doc_id", "mention").agg(best.alias("antecedent"), F.max("score").alias("top"))
+    return found.select("doc_id", "mention", F.when(F.col("top") > 0, F.col("antecedent")).alias("antecedent"))
+
+
 def bucket_distance(d: Column) -> Column:
     """0 to 4 as they are, then 5-7, 8-15, 16-31, 32-63, 64 and more as 5 to 9."""
     return F.when(d <= 4, d.cast("int")).otherwise(F.least(F.lit(9), (F.floor(F.log2(d.cast("double"))) + 3).cast("int")))

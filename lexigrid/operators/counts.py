@@ -14,9 +14,11 @@ from pyspark.sql import types as T_
 from ..functions import flat
 from ..functions import text as T
 from ..functions.errors import NotAllowedValue, OutOfVocabulary, UnsupportedType
-from ..plans.store import listed
+from ..plans.store import listed, materialize
 
 Filter = Callable[[DataFrame], DataFrame]
+#: The most words that are ranked in one task.
+RANKED = 1_000_000
 
 
 def tokens(sentences: DataFrame, *keep: str) -> DataFrame:
@@ -54,7 +56,12 @@ def describe(sentences: DataFrame, *by: str) -> DataFrame:
 
 def truncate(k: int) -> Filter:
     """The k most frequent words; of equal counts the first by word."""
-    return lambda counts: counts.orderBy(F.desc("n"), "word").limit(k)
+
+    def run(counts: DataFrame) -> DataFrame:
+        return counts.orderBy(F.desc("n"), "word").limit(k)
+
+    run.most = k
+    return run
 
 
 def _threshold(m: float, keep: Callable) -> Filter:
@@ -113,14 +120,36 @@ def filter_attributes(attributes: str | tuple[str, ...]) -> Filter:
 def create_vocabulary(counts: DataFrame, attributes: str | tuple[str, ...] | None = None, filters: Iterable[Filter] = ()) -> DataFrame:
     """``(word, idx)`` by falling count, then word.
 
-    Ranking needs one order over the vocabulary; it is done after all filters,
-    on what they leave.
+    What a ``truncate`` leaves last is ranked in one task.  Other vocabularies
+    are sorted in ranges, and a range's words are numbered from the number of
+    words before it.
     """
+    filters = list(filters)
     if attributes is not None:
         counts = filter_attributes(attributes)(counts)
     for f in filters:
         counts = f(counts)
-    return counts.select("word", (F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1).cast("long").alias("idx"))
+    if filters and getattr(filters[-1], "most", RANKED + 1) <= RANKED:
+        return counts.select("word", (F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1).cast("long").alias("idx"))
+    return ranked(counts, F.desc("n"), F.asc("word")).select("word", "idx")
+
+
+def ranked(rows: DataFrame, *order) -> DataFrame:
+    """``rows`` with ``idx``, their places from 0 in an order, without bringing them to one task.
+
+    They are written once, sorted in ranges; then only the ranges' sizes are
+    gathered.
+    """
+    at = F.monotonically_increasing_id().alias("_at")
+    held = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", at), "ranked")
+    part = F.shiftright("_at", 33).alias("_part")
+    sizes = sorted((r[0], r[1]) for r in held.groupBy(part).agg(F.count(F.lit(1))).collect())
+    before, bases = 0, []
+    for p, n in sizes:
+        bases.append((p, before))
+        before += n
+    base = rows.sparkSession.createDataFrame(bases, "_part long, _base long")
+    return held.withColumn("_part", part).join(F.broadcast(base), "_part").withColumn("idx", F.col("_base") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).select(*rows.columns, "idx")
 
 
 def vocabulary(spark, words) -> DataFrame:
@@ -141,8 +170,7 @@ def merge_vocabularies(*vocabs: DataFrame) -> DataFrame:
     for k, v in enumerate(vocabs):
         part = v.select("word", F.struct(F.lit(k).alias("v"), F.col("idx")).alias("at"))
         rows = part if rows is None else rows.unionByName(part)
-    first = rows.groupBy("word").agg(F.min("at").alias("at"))
-    return first.select("word", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("idx"))
+    return ranked(rows.groupBy("word").agg(F.min("at").alias("at")), F.asc("at")).select("word", "idx")
 
 
 def index_of(vocab: DataFrame, word: str) -> int:

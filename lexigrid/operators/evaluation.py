@@ -184,9 +184,12 @@ def predict_analogies(questions: DataFrame, vectors: DataFrame, k: int = 1, epsi
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("a", "b", "c", "method", "word", "rank", "score")
 
 
-def evaluate_analogies(questions: DataFrame, vectors: DataFrame, k: int = 1, epsilon: float = 0.001, threshold: int = 30_000, keep_duplicates: bool = True) -> DataFrame:
-    """``(path, cosadd, cosmul, nb)``: shares of the questions (from ``analogies``) whose answer is among the k best; null where none could be asked."""
-    vocab = vectors.where(F.col("idx") < threshold)
+def evaluate_analogies(questions: DataFrame, vectors: DataFrame, k: int = 1, epsilon: float = 0.001, threshold: int | None = 30_000, keep_duplicates: bool = True) -> DataFrame:
+    """``(path, cosadd, cosmul, nb)``: shares of the questions (from ``analogies``) whose answer is among the k best; null where none could be asked.
+
+    Words of the vectors with a lower idx than ``threshold`` take part, or all.
+    """
+    vocab = vectors if threshold is None else vectors.where(F.col("idx") < threshold)
     asked = known(questions, vocab)
     w = F.col("words")
     abc = asked.where("not oov").select(w[0].alias("a"), w[1].alias("b"), w[2].alias("c"), "key", w[3].alias("gold")).distinct()

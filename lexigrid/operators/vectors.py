@@ -174,12 +174,29 @@ def word_histogram(vectors: DataFrame, word, edges: Sequence[float], metric: str
     return histogram(vectors.where(F.col("word") != word).select(D.column(metric)(F.col("vec"), q).alias("distance")), edges)
 
 
-def pair_histogram(vectors: DataFrame, edges: Sequence[float], metric: str = "angle", block: int = BLOCK) -> DataFrame:
+def word_histograms(vectors: DataFrame, edges: Sequence[float], metric: str | Callable[[np.ndarray, np.ndarray], np.ndarray] = "angle", block: int = 1024) -> DataFrame:
+    """``(word, bin, n)``: the distances of each word to all others, by bins that aren't empty; the bins are ``histogram``'s."""
+    f, cuts = metric if callable(metric) else D.kernel(metric), np.array(edges, float)
+    kind = vectors.schema["word"].dataType.simpleString()
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        a, b = (np.array(t.column("word").to_pylist(), object) for t in (x, y))
+        d = f(matrix(x.column("vec")), matrix(y.column("vec")))
+        ok = (a[:, None] != b[None, :]) & (d >= cuts[0]) & (d <= cuts[-1])
+        bins = np.minimum(np.searchsorted(cuts, d, "right") - 1, len(cuts) - 2)
+        counts = np.bincount((np.arange(len(a))[:, None] * (len(cuts) - 1) + bins)[ok], minlength=len(a) * (len(cuts) - 1))
+        at = np.flatnonzero(counts)
+        return pa.table({"word": x.column("word").take(pa.array(at // (len(cuts) - 1))), "bin": pa.array((at % (len(cuts) - 1)).astype(np.int32)), "n": pa.array(counts[at])})
+
+    return grid(vectors.select("word", "vec"), vectors.select("word", "vec"), run, f"word {kind}, bin int, n long", block).groupBy("word", "bin").agg(F.sum("n").alias("n"))
+
+
+def pair_histogram(vectors: DataFrame, edges: Sequence[float], metric: str | Callable[[np.ndarray, np.ndarray], np.ndarray] = "angle", block: int = BLOCK) -> DataFrame:
     """Distances of all pairs of different words, each pair once, by bins.
 
     Every pair of blocks counts its own bins; no pair leaves its task.
     """
-    f, cuts, last = D.kernel(metric), np.array(edges, float), len(edges) - 2
+    f, cuts, last = metric if callable(metric) else D.kernel(metric), np.array(edges, float), len(edges) - 2
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         a, b = (np.array(t.column("word").to_pylist(), object) for t in (x, y))

@@ -117,14 +117,18 @@ def vocab_remove_elements(spark, sf_dir):
     return K.remove_elements("laleles")(K.remove_elements(["the", "le", "and", "de"])(K.count_words(sentences(spark, sf_dir))))
 
 
+def _languages(corpus: DataFrame) -> list[str]:
+    return sorted(r[0] for r in corpus.select("lang").where("lang is not null").distinct().collect())
+
+
 @query(
-    r"""WITH v AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) - 1 AS idx FROM (SELECT lang, word, count(*) AS n FROM tok GROUP BY ALL)),
-    two AS (SELECT word, min(idx + CASE lang WHEN 'en' THEN 0 ELSE 1000 END) AS place FROM v WHERE idx < 500 AND lang IN ('en', 'fr') GROUP BY word)
-    SELECT word, row_number() OVER (ORDER BY place) - 1 AS idx FROM two""".replace("WITH v", f"WITH {TOKENS}, v")
+    f"""WITH {TOKENS}, v AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS idx FROM (SELECT lang, word, count(*) AS n FROM tok WHERE lang IS NOT NULL GROUP BY ALL)),
+    first AS (SELECT word, min((lang, idx)) AS place FROM v GROUP BY word) SELECT word, row_number() OVER (ORDER BY place) - 1 AS idx FROM first"""
 )
 def vocab_merge(spark, sf_dir):
+    """The vocabularies of all languages, in the order of their names."""
     corpus = sentences(spark, sf_dir)
-    return K.merge_vocabularies(*[K.create_vocabulary(K.count_words(corpus.where(F.col("lang") == x)), filters=[K.truncate(500)]) for x in ("en", "fr")])
+    return K.merge_vocabularies(*[K.create_vocabulary(K.count_words(corpus.where(F.col("lang") == x))) for x in _languages(corpus)])
 
 
 @query(
@@ -245,13 +249,13 @@ def cooc_dynamic(spark, sf_dir):
     return count_cooccurrence(corpus, v, X.Window(4, dynamic=True, seed=1), v)
 
 
-@query(f"""WITH {VOCAB} SELECT lang || '_' || a.word AS word, b.word AS ctx, count(*) AS n FROM (SELECT * FROM tok WHERE lang IN ('en', 'fr')) a JOIN tok b ON {PAIRS} AND abs(b.pos - a.pos) = 1
-WHERE a.word IN (SELECT word FROM vocab) AND b.word IN (SELECT word FROM vocab) GROUP BY ALL""".replace("lang || '_'", "a.lang || '_'"))
+@query(f"""WITH {VOCAB} SELECT a.lang || '_' || a.word AS word, b.word AS ctx, count(*) AS n FROM tok a JOIN tok b ON {PAIRS} AND abs(b.pos - a.pos) = 1
+WHERE a.lang IS NOT NULL AND a.word IN (SELECT word FROM vocab) AND b.word IN (SELECT word FROM vocab) GROUP BY ALL""")
 def cooc_merge_langs(spark, sf_dir):
     corpus = sentences(spark, sf_dir)
-    v = top_words(corpus)
-    parts = [count_cooccurrence(corpus.where(F.col("lang") == x), v, X.Window(1), v) for x in ("en", "fr")]
-    return merge(*parts, word_keys=["en", "fr"])
+    v, langs = top_words(corpus), _languages(corpus)
+    parts = [count_cooccurrence(corpus.where(F.col("lang") == x), v, X.Window(1), v) for x in langs]
+    return merge(*parts, word_keys=langs)
 
 
 # Weightings
@@ -380,17 +384,6 @@ def line_examples(spark, sf_dir):
     return B.lines(table(spark, sf_dir, "documents"))
 
 
-@query()
-def next_sentences(spark, sf_dir):
-    return B.next_sentence_pairs(table(spark, sf_dir, "documents"))
-
-
-@query()
-def masked_tokens(spark, sf_dir):
-    at = K.tokens(sentences(spark, sf_dir)).select("doc_id", "sent_id", "pos", F.pmod(F.xxhash64("word"), F.lit(30000)).cast("int").alias("token_id"))
-    return B.mask_tokens(at, 30000, 30000, key=("doc_id", "sent_id", "pos"))
-
-
 @query(f"WITH {TOKENS} SELECT word, n FROM counts")
 def streamed_word_counts(spark, sf_dir):
     """The documents as a stream; the last complete result is what a batch gives."""

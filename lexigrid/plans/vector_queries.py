@@ -130,11 +130,11 @@ def angle_histogram(spark, sf_dir):
 
 
 @query(
-    f"""WITH {VEC}, {_BINS}, d AS (SELECT acos(greatest(-1, least(1, {COS}))) AS d FROM v a JOIN v b ON a.word = 0 AND b.word <> 0)
-    SELECT bin::INT AS bin, round(low, 6) AS low, round(high, 6) AS high, count(d) AS n FROM b LEFT JOIN d ON d >= low AND (d < high OR bin = 39 AND d <= high) GROUP BY ALL"""
+    f"""WITH {VEC}, {_BINS}, d AS (SELECT a.word, acos(greatest(-1, least(1, {COS}))) AS d FROM v a JOIN v b ON a.word <> b.word)
+    SELECT word, bin::INT AS bin, count(*) AS n FROM d JOIN b ON d >= low AND (d < high OR bin = 39 AND d <= high) GROUP BY ALL"""
 )
 def word_angle_histogram(spark, sf_dir):
-    return rounded(V.word_histogram(vectors(spark, sf_dir), 0, EDGES), "low", "high")
+    return V.word_histograms(vectors(spark, sf_dir), EDGES)
 
 
 _MEANS = "x AS (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS d FROM v), c AS (SELECT label, list(m ORDER BY d) AS vec FROM (SELECT label, d, avg(x) AS m FROM x GROUP BY ALL) GROUP BY label)"

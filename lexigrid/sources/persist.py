@@ -103,11 +103,19 @@ def save_vectors_text(vectors: DataFrame, path: str, sep: str = "\t", gzip: bool
 
 
 def load_vectors_text(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """``(word, vec)``; a first line of two numbers only, as word2vec writes it, is skipped."""
+    """``(word, vec)``; a line with the number and size of the others, as word2vec writes it first, is skipped.
+
+    A line of two whole numbers is such a head if the second is the size of the
+    longest vector; if that is 1, the first must be the number of other lines.
+    """
     parts = F.split("value", "\\Q" + sep + "\\E")
-    rows = spark.read.text(path).where(F.length("value") > 0).where(~F.col("value").rlike(r"^\d+\s+\d+\s*$"))
     numbers = F.transform(F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x != ""), lambda x: x.cast("double"))
-    return rows.select(parts[0].alias("word"), numbers.alias("vec"))
+    two = F.when(F.col("value").rlike(r"^\d{1,15}\s+\d{1,9}\s*$"), F.split(F.trim("value"), r"\s+"))
+    rows = spark.read.text(path).where(F.length("value") > 0).select(parts[0].alias("word"), numbers.alias("vec"), two.alias("two"))
+    shape = F.broadcast(rows.agg(F.max(F.size("vec")).alias("dims"), F.count(F.lit(1)).alias("lines")))
+    n, d = F.col("two")[0].cast("long"), F.col("two")[1].cast("long")
+    head = F.col("two").isNotNull() & (d == F.col("dims")) & ((d > 1) | (n == F.col("lines") - 1))
+    return rows.crossJoin(shape).where(~head).select("word", "vec")
 
 
 def save_sparse_text(cells: DataFrame, words: DataFrame, contexts: DataFrame, path: str, sep: str = "\t") -> None:
