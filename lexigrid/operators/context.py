@@ -168,8 +168,9 @@ def _distances(key: np.ndarray, dist: np.ndarray, width: int, names: pa.Array, n
 
 def marked(sentences: DataFrame, words: DataFrame | None, vocab: DataFrame | None) -> DataFrame:
     """Sentences with ``w`` and ``c``: their tokens, null where they aren't in a vocabulary too large to be sent to every worker."""
-    row = F.monotonically_increasing_id().alias("row")
-    at = sentences.select(row, "doc_id", "sent_id", F.posexplode_outer("tokens").alias("pos", "word"))
+    # Numbered before the tokens are exploded: an expression beside an explosion is evaluated for each of its rows.
+    keyed = sentences.select("doc_id", "sent_id", "tokens", F.monotonically_increasing_id().alias("row"))
+    at = keyed.select("row", "doc_id", "sent_id", F.posexplode_outer("tokens").alias("pos", "word"))
     for name, v in (("w", words), ("c", vocab)):
         at = at.withColumn(name, F.col("word")) if v is None else at.join(v.select("word", F.col("word").alias(name)), "word", "left")
     rows = at.groupBy("row", "doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "w", "c")))).alias("r"))
