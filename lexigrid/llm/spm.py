@@ -13,11 +13,11 @@ merges the two pieces under an edge whenever they are just two; this gives the
 ids of the model's own library, which the highest-scoring path doesn't.
 ``unigram`` reads a model's pieces and scores as a Unigram model's.
 
-Texts are never shuffled.  A word remembers which parts of input files (a
-task's splits) it is from; the encoded words are written once as one small
+Texts are never shuffled.  A word remembers which parts of input files (of
+``PART_BYTES``) it is from; the encoded words are written once as one small
 dictionary for each part, and a second pass over the texts looks its words up
 in the dictionary of its own part.  What a worker holds is thus bounded by a
-split, whatever the table.  Texts that don't come straight from files are
+part, whatever the table.  Texts that don't come straight from files are
 written to some first.
 """
 
@@ -44,6 +44,8 @@ UNIGRAM, BPE = 1, 2
 _UNSEEN_PENALTY = 10.0
 #: Bytes of the texts that a worker encodes at a time; its largest temporary arrays have eight times as many.
 SLICE_BYTES = 4 << 20
+#: Bytes of an input file whose words have one dictionary.
+PART_BYTES = 128 << 20
 #: Bytes of input files for which there is a task of words, and the most of these tasks.
 TASK_BYTES, MOST_TASKS = 16 << 20, 50_000
 
@@ -309,7 +311,7 @@ def encode(docs: DataFrame, p: Pieces, id_col: str = "doc_id", text_col: str = "
     if not _from_files(slim):
         slim = C.materialize(slim, "texts")
     size = int(str(slim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    slim = slim.withColumn("f", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+    slim = slim.withColumn("f", F.xxhash64(F.input_file_name(), F.floor(F.input_file_block_start() / PART_BYTES)))
     prefix = p.prefix
 
     def words(batches):

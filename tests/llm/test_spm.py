@@ -95,8 +95,10 @@ def test_viterbi_query(spark):
             assert score(r.ids, None) == pytest.approx(score(want, None), rel=1e-12)
 
 
-def test_behind_a_shuffle_and_from_files(spark, make, tmp_path, library):
+@pytest.mark.parametrize("part", [S.PART_BYTES, 20_000])
+def test_behind_a_shuffle_and_from_files(spark, make, tmp_path, library, monkeypatch, part):
     """Texts from files, of which each task has a part, and texts behind a shuffle give the same ids."""
+    monkeypatch.setattr(S, "PART_BYTES", part)
     texts = [words(i, 300, 26**4) for i in range(60)]
     make(list(enumerate(texts))).coalesce(2).write.option("parquet.block.size", 16_000).parquet(f"{tmp_path}/t")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
