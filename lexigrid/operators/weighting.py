@@ -1,7 +1,7 @@
 """Weightings of count cells ``(word, ctx, n)`` to ``(word, ctx, value)``.
 
 Sums by row and column are aggregated first (one row a word or context) and
-joined back; Spark broadcasts them while they are small.  Cells that a
+joined back; whether a side is broadcast is up to the sizes that Spark measures at run time.  Cells that a
 weighting makes 0 are left out where absent cells are 0.
 """
 
