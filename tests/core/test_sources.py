@@ -1,5 +1,6 @@
 import gzip
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,40 @@ def test_conll(spark, tmp_path):
     assert [[t.form for t in s] for s in got] == [["stars", "shine"], ["on"]] and got[0][0].lemma == "star"
 
 
+@pytest.mark.parametrize("split", [23, 1 << 20])
+def test_files_cut_anywhere(spark, tmp_path, monkeypatch, split):
+    """Splits that end within sentences, lines and runs of blank lines give what whole files give."""
+    r = np.random.default_rng(split)
+    kinds = ["1\ta\tb\n", "2\tc\n", "1-2\tx\n", "\n", "\n", " \t\n", "# note\n", "3\tlonger words here\r\n", "\r\n"]
+    texts = {f"{tmp_path}/f{i}.conll": "".join(r.choice(kinds, n)) + end for i, (n, end) in enumerate([(60, ""), (60, "9\tend"), (3, "\n\n"), (200, "# last"), (1, "1\tz")])}
+    texts[f"{tmp_path}/g.conll.gz"] = "".join(r.choice(kinds, 50))
+    for path, text in texts.items():
+        with (gzip.open if path.endswith("gz") else open)(path, "wt", newline="") as f:
+            f.write(text)
+    rows = lambda df: sorted((x.doc_id.split("/")[-1], x.sent_id, tuple(map(tuple, x.tokens))) for x in df.collect())
+    docs = spark.createDataFrame([(k, v) for k, v in texts.items()], "doc_id string, value string")
+    lines = [(p.split("/")[-1], i, len(x.split())) for p, t in texts.items() for i, x in enumerate((t[:-1] if t.endswith("\n") else t).split("\n"))]
+    sizes = {"spark.sql.files.maxPartitionBytes": split, "spark.sql.files.openCostInBytes": 0}
+    was, write = {k: spark.conf.get(k) for k in sizes}, S.materialize
+
+    def conf(values):
+        for k, v in values.items():
+            spark.conf.set(k, v)
+
+    def cut(df, name):  # only the files themselves are read in so small splits
+        conf(sizes)
+        try:
+            return write(df, name)
+        finally:
+            conf(was)
+
+    monkeypatch.setattr(S, "materialize", cut)
+    got = rows(S.read_conll(spark, str(tmp_path)))
+    words = [(x.doc_id.split("/")[-1], x.sent_id, len(x.tokens)) for x in S.read_text(spark, str(tmp_path)).collect()]
+    assert got == rows(S.conll_sentences(docs)) and len(got) > 40
+    assert sorted(words) == sorted(lines)
+
+
 def test_xml(spark, tmp_path):
     xml = """<root><document><sentences><sentence id="1"><tokens><token id="1"><word>Stars</word><lemma>star</lemma><POS>N</POS></token><token id="2"><word>shine</word></token></tokens>
     <dependencies type="basic-dependencies"><dep type="nsubj"><governor idx="2">shine</governor><dependent idx="1">Stars</dependent></dep></dependencies></sentence></sentences></document></root>"""
