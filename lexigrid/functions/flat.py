@@ -57,6 +57,33 @@ def known(code: np.ndarray, dictionary: pa.Array, listed: pa.Array | None) -> np
     return np.where(ok[code], code, -1)
 
 
+def taken(values: pa.Array, code: np.ndarray) -> pa.Array:
+    """The values of codes, null for -1."""
+    return values.take(pa.array(code, mask=code < 0))
+
+
+class Join:
+    """An inner join with an array of keys: places in other keys, and the places here that are equal to them."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.searchsorted(self.keys, keys)
+        size = np.searchsorted(self.keys, keys, "right") - first
+        i = np.repeat(np.arange(len(keys)), size)
+        return i, self.order[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(len(i))]
+
+
+def dense(*columns: np.ndarray) -> np.ndarray:
+    """One number for each distinct row of columns of numbers from -1."""
+    out = columns[0]
+    for c in columns[1:]:
+        out = np.unique(out * (int(c.max(initial=-1)) + 2) + c + 1, return_inverse=True)[1]
+    return out
+
+
 def draws(base: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Numbers from 0 to ``PRIME`` - 1 by a row's base and a place in it; ``text.draw`` is the same as a Column."""
     base = base.astype(np.int64)

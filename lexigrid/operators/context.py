@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -220,29 +221,56 @@ class Dependency:
         if self.parser is None and self.dependencies not in ("universal-dependencies", "stanford-dependencies"):
             raise NotAllowedValue(f"no parser for {self.dependencies}")
 
-    def edges(self, at: DataFrame) -> DataFrame:
-        """``(doc_id, sent_id, head, child, rel)`` by token id."""
-        key = ["doc_id", "sent_id"]
-        base = at.select(*key, F.col("t.head").alias("head"), F.col("t.id").alias("child"), F.col("t.dependency_relation").alias("rel"), F.col("t.form").alias("form")).where("head is not null and head not in ('0', '_') and lower(rel) <> 'root'")
-        # Heads that aren't in the sentence give no edge.
-        ids = at.select(*key, F.col("t.id").alias("head"), F.col("t.head").alias("up"), F.col("t.dependency_relation").alias("up_rel"), F.col("t.form").alias("up_form"))
-        full = base.join(ids, [*key, "head"])
-        if not self.collapse:
-            return full.select(*key, "head", "child", "rel")
-        if self.dependencies.startswith("universal"):
-            # child --case--> preposition: the edge from child's head to child is labelled by the preposition.
-            case = full.where("rel = 'case'").select(*key, F.col("head").alias("child"), F.concat(F.lit("case_"), "form").alias("named"))
-            plain = full.where("rel not in ('case', 'nmod')").select(*key, "head", "child", "rel")
-            moved = case.join(full.select(*key, "child", "head", "rel"), [*key, "child"]).select(*key, "head", "child", F.col("named").alias("rel"))
-            return plain.join(moved.select(*key, "head", "child"), [*key, "head", "child"], "left_anti").unionByName(moved)
-        plain = full.where("rel not in ('prep', 'pobj')").select(*key, "head", "child", "rel")
-        moved = full.where("rel = 'pobj' and up is not null and up not in ('0', '_')").select(*key, F.col("up").alias("head"), "child", F.concat(F.lit("prep_"), "up_form").alias("rel"))
-        return plain.unionByName(moved)
+    def _rows(self, sentences: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, Callable, str]:
+        """Sentences' attributes as lists of their own, a function from a batch of these to ``_tree``'s parts, and the type of words."""
+        kind = next(f for f in sentences.schema["tokens"].dataType.elementType if f.name == self.entity).dataType.simpleString()
+        text = lambda c: T.project(F.col("tokens"), c).cast("array<string>").alias(c)
+        names = {"id", "head", "dependency_relation"} | ({"form"} if self.collapse else set()) | ({"POS"} if self.pos_keep != ALL else set())
+        rows = sentences.select(*keep, T.project(F.col("tokens"), self.entity).alias("_name"), *[text(c) for c in sorted(names)])
+        chosen = lambda x: None if x == ALL else [x] if isinstance(x, str) else list(x)
+        relations, tags = chosen(self.deprel_keep), chosen(self.pos_keep)
+
+        def parts(batch):
+            return _tree(self, {c: flat.column(batch, c) for c in ("_name", *sorted(names))}, relations, tags)
+
+        return rows, parts, kind
 
     def __call__(self, sentences: DataFrame, words: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
+        if self.parser:
+            return self._joined(sentences, words, vocab)
+        rows, parts, kind = self._rows(sentences, ("doc_id", "sent_id"))
+        ids = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", "sent_id")]
+
+        def run(batches):
+            for b in flat.slices(batches, "_name"):
+                row, pos, word, names, ctx, named = parts(b)
+                keys = [flat.column(b, c).take(pa.array(row)) for c in ("doc_id", "sent_id")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(pos.astype(np.int32)), flat.taken(names, word), flat.taken(named, ctx)], ["doc_id", "sent_id", "pos", "word", "ctx"])
+
+        out = rows.mapInArrow(run, f"{', '.join(ids)}, pos int, word {kind}, ctx {'string' if self.labels else kind}")
+        return _contexts(_targets(out, words), vocab)
+
+    def counted(self, sentences: DataFrame, words: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
+        """``(word, ctx, n)``, counted in the sentences' tasks first."""
+        if self.parser:
+            return self._joined(sentences, words, vocab).groupBy("word", "ctx").agg(F.count(F.lit(1)).alias("n"))
+        rows, parts, kind = self._rows(sentences)
+
+        def run(batches):
+            for b in flat.slices(batches, "_name"):
+                _, _, word, names, ctx, named = parts(b)
+                width = len(named) + 1
+                kinds, n = np.unique((word + 1) * width + ctx + 1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([flat.taken(names, kinds // width - 1), flat.taken(named, kinds % width - 1), pa.array(n)], ["word", "ctx", "n"])
+
+        out = rows.mapInArrow(run, f"word {kind}, ctx {'string' if self.labels else kind}, n long")
+        return _contexts(_targets(out, words), vocab).groupBy("word", "ctx").agg(F.sum("n").alias("n"))
+
+    def _joined(self, sentences: DataFrame, words: DataFrame | None, vocab: DataFrame | None) -> DataFrame:
+        """Contexts by joins of tokens with the edges that a parser gives as a table."""
         key = ["doc_id", "sent_id"]
         at = sentences.select(*key, F.posexplode("tokens").alias("pos", "t"))
-        down = self.parser(at) if self.parser else self.edges(at)
+        down = self.parser(at)
         if self.deprel_keep != ALL:
             down = down.where(F.col("rel").isin([self.deprel_keep] if isinstance(self.deprel_keep, str) else list(self.deprel_keep)))
         both = down if self.directed else down.unionByName(down.select(*key, F.col("child").alias("head"), F.col("head").alias("child"), F.concat("rel", F.lit("-")).alias("rel")))
@@ -263,6 +291,99 @@ class Dependency:
         return _contexts(_targets(out, words), vocab)
 
 
+def _tree(d: Dependency, columns: dict[str, pa.Array], relations: list | None, tags: list | None):
+    """``(row, pos, word, names, ctx, named)``: the distinct contexts of a batch's tokens, words and contexts as codes of ``names`` and ``named``.
+
+    Edges are arrays of sentence, head, child and relation, heads and children by token id; a join of these is a search in a sorted array.
+    """
+    o = flat.lists(columns["_name"])[1]
+    values = {c: flat.lists(a)[0] for c, a in columns.items()}
+    row = np.repeat(np.arange(len(o) - 1), np.diff(o))
+    both, ids = flat.codes(pa.concat_arrays([values["id"], values["head"]]))
+    own, up = both[: len(row)], both[len(row) :]
+    none = np.isin(np.append(np.array(ids.to_pylist(), object), None), ["0", "_", None])
+    rel, named = flat.codes(values["dependency_relation"])
+    rels = named.to_pylist()
+    width = len(ids) + 1
+    tokens = np.flatnonzero(own >= 0)
+    by_id = flat.Join((row * width + own)[tokens])
+
+    def at(r, code):
+        """Places of edges, and the tokens of that id in their sentences."""
+        i, j = by_id((r * width + code))
+        return i, tokens[j]
+
+    is_root = np.array([x.lower() == "root" for x in rels] + [True])
+    base = np.flatnonzero(~none[up] & ~is_root[rel] & (own >= 0))
+    i, j = at(row[base], up[base])
+    child = base[i]  # heads that aren't in the sentence give no edge
+    r, h, c, k = row[child], up[child], own[child], rel[child]
+    if d.collapse:
+        forms, form_names = flat.codes(values["form"])
+        form_names = form_names.to_pylist()
+
+        def prefixed(prefix, form):
+            known = {}
+            for f in np.unique(form[form >= 0]).tolist():
+                known[f] = len(rels)
+                rels.append(prefix + form_names[f])
+            return np.array([known.get(f, -1) for f in form.tolist()], np.int64)
+
+        code = {name: x for x, name in enumerate(rels)}
+        of = lambda *which: np.isin(k, [code[w] for w in which if w in code])
+        if d.dependencies.startswith("universal"):
+            # child --case--> preposition: the edge from child's head to child is labelled by the preposition.
+            case = np.flatnonzero(of("case"))
+            x, y = flat.Join(r * width + c)(r[case] * width + h[case])
+            more = (r[y], h[y], c[y], prefixed("case_", forms[child[case[x]]]))
+            kept = ~of("case", "nmod")
+            edge = flat.dense(np.append(r, more[0]), np.append(h, more[1]), np.append(c, more[2]))
+            kept &= ~np.isin(edge[: len(r)], edge[len(r) :])
+        else:
+            moved = np.flatnonzero(of("pobj") & ~none[up[j]])
+            more = (r[moved], up[j[moved]], c[moved], prefixed("prep_", forms[j[moved]]))
+            kept = ~of("prep", "pobj")
+        r, h, c, k = (np.append(x[kept], y) for x, y in zip((r, h, c, k), more))
+    if relations is not None:
+        kept = np.isin(k, [x for x, name in enumerate(rels) if name in set(relations)])
+        r, h, c, k = r[kept], h[kept], c[kept], k[kept]
+    if not d.directed:
+        n = len(rels)
+        rels = rels + [f"{x}-" for x in rels]
+        r, h, c, k = np.append(r, r), np.append(h, c), np.append(c, h), np.append(k, np.where(k < 0, -1, k + n))
+    for _ in range(d.depth - 1):
+        x, y = flat.Join(r * width + h)(r * width + c)
+        ok = h[x] != c[y]
+        x, y = x[ok], y[ok]
+        pair, which = np.unique((k[x] + 1) * (len(rels) + 1) + k[y] + 1, return_inverse=True)
+        known = {name: i for i, name in enumerate(rels)}
+        text = [None, *rels]
+        far = np.array([known.setdefault("_".join(t for t in (text[p // (len(rels) + 1)], text[p % (len(rels) + 1)]) if t is not None), len(known)) for p in pair.tolist()], np.int64)
+        rels = list(known)
+        r, h, c, k = np.append(r, r[x]), np.append(h, h[x]), np.append(c, c[y]), np.append(k, far[which])
+        first = np.unique(flat.dense(r, h, c, k), return_index=True)[1]
+        r, h, c, k = r[first], h[first], c[first], k[first]
+    i, t = at(r, h)
+    r, c, k = r[i], c[i], k[i]
+    i, u = at(r, c)
+    t, k = t[i], k[i]
+    if tags is not None:
+        tag, tag_names = flat.codes(values["POS"])
+        ok = np.isin(tag[u], [x for x, name in enumerate(tag_names.to_pylist()) if name in set(tags)])
+        t, u, k = t[ok], u[ok], k[ok]
+    word, names = flat.codes(values["_name"])
+    ctx, contexts = word[u], names
+    if d.labels:
+        pair, which = np.unique((ctx + 1) * (len(rels) + 1) + k + 1, return_inverse=True)
+        # As concat_ws: what is null is left out.
+        parts = flat.taken(names.cast(pa.string()), pair // (len(rels) + 1) - 1), flat.taken(pa.array(rels, pa.string()), pair % (len(rels) + 1) - 1)
+        code, contexts = flat.codes(pc.binary_join_element_wise(*parts, "/", null_handling="skip"))
+        ctx = code[which]
+    once = np.unique(t * (len(contexts) + 1) + ctx + 1)
+    t, ctx = once // (len(contexts) + 1), once % (len(contexts) + 1) - 1
+    return row[t], t - o[row[t]], word[t], names, ctx, contexts
+
+
 @dataclass(frozen=True)
 class Custom:
     """Contexts by a Python function of a sentence's tokens that returns one list of contexts for each token.
@@ -272,17 +393,43 @@ class Custom:
 
     function: Callable[[list], list]
 
+    def _found(self, tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The row and place of each context's token, and the contexts."""
+        rows, places, found = [], [], []
+        for i, s in enumerate(tokens.to_pylist()):
+            for pos, (_, cs) in enumerate(zip(s or (), self.function(s) if s is not None else ())):
+                cs = list(cs)
+                found += cs
+                rows += [i] * len(cs)
+                places += [pos] * len(cs)
+        return np.array(rows, np.int64), np.array(places, np.int64), pa.array(found, pa.string())
+
     def __call__(self, sentences: DataFrame, words: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
-        f = self.function
         slim = sentences.select("doc_id", "sent_id", "tokens")
-        kind = pa.list_(pa.struct([("pos", pa.int32()), ("word", pa.string()), ("ctx", pa.string())]))
+        ids = [slim.schema[c].dataType.simpleString() for c in ("doc_id", "sent_id")]
 
         def run(batches):
-            for b in batches:
-                found = [[{"pos": i, "word": w, "ctx": c} for i, (w, cs) in enumerate(zip(s, f(s))) for c in cs] for s in b.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, kind)], ["doc_id", "sent_id", "items"])
+            for b in flat.slices(batches, "tokens"):
+                row, pos, ctx = self._found(b.column(2))
+                values, o = flat.lists(b.column(2))
+                cols = [b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(pos.astype(np.int32)), values.take(pa.array(o[row] + pos)).cast(pa.string()), ctx]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sent_id", "pos", "word", "ctx"])
 
-        ids = [slim.schema[c].dataType.simpleString() for c in ("doc_id", "sent_id")]
-        out = slim.mapInArrow(run, f"doc_id {ids[0]}, sent_id {ids[1]}, items array<struct<pos:int,word:string,ctx:string>>")
-        rows = out.select("doc_id", "sent_id", F.explode("items").alias("c")).select("doc_id", "sent_id", "c.pos", "c.word", "c.ctx")
+        rows = slim.mapInArrow(run, f"doc_id {ids[0]}, sent_id {ids[1]}, pos int, word string, ctx string")
         return _contexts(_targets(rows, words), vocab)
+
+    def counted(self, sentences: DataFrame, words: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
+        """``(word, ctx, n)``, counted in the sentences' tasks first."""
+
+        def run(batches):
+            for b in flat.slices(batches, "tokens"):
+                row, pos, ctx = self._found(b.column(0))
+                values, o = flat.lists(b.column(0))
+                word, names = flat.codes(values)
+                code, named = flat.codes(ctx)
+                width = len(named) + 1
+                kinds, n = np.unique((word[o[row] + pos] + 1) * width + code + 1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([flat.taken(names, kinds // width - 1).cast(pa.string()), flat.taken(named, kinds % width - 1), pa.array(n)], ["word", "ctx", "n"])
+
+        out = sentences.select("tokens").mapInArrow(run, "word string, ctx string, n long")
+        return _contexts(_targets(out, words), vocab).groupBy("word", "ctx").agg(F.sum("n").alias("n"))

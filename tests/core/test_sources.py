@@ -206,3 +206,16 @@ def test_coreference(spark):
     assert s["segments"] == [[101, 1, 2, 3, 102], [101, 4, 5, 6, 102], [101, 7, 8, 102]]
     assert s["sentence_map"] == [0, 0, 0, 0, 0, 1, 1, 1, 1, 1, 1, 1, 1, 1]
     assert list(zip(s["starts"], s["ends"], s["clusters"])) == [(1, 2, 0), (7, 8, 1), (11, 11, 0)]
+
+
+def test_dependencies_take_no_shuffle_before_the_count(spark):
+    """Sentences are worked on in their own tasks; counts are those of the rows."""
+    docs = spark.createDataFrame([(i, SENT) for i in range(3)], "doc_id int, value string")
+    sents = S.conll_sentences(docs, fields=S.CONLLU)
+    for k in ({"labels": True}, {"depth": 3, "directed": True}, {"collapse": True, "labels": True}, {"pos_keep": "NN"}):
+        rows = X.Dependency(**k)(sents)
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+        want = rows.groupBy("word", "ctx").agg(F.count(F.lit(1)).alias("n"))
+        assert sorted(map(tuple, X.Dependency(**k).counted(sents).collect())) == sorted(map(tuple, want.collect()))
+    twice = X.Custom(lambda t: [[x, x] for x in t[1:]])
+    assert sorted(map(tuple, twice.counted(S.from_iterable(spark, ["a b a b"])).collect())) == [("a", "b", 4), ("b", "a", 2)]
