@@ -205,3 +205,12 @@ def test_svd(spark):
     assert np.allclose(w @ w.T, u[:, :3] * s[:3] ** 2 @ u[:, :3].T, atol=1e-6)
     with pytest.raises(IncompatibleValue):
         M.svd(m, 9)
+
+
+def test_a_vocabulary_is_counted_once(spark, tmp_path, monkeypatch):
+    from lexigrid.plans import corpus_queries, more_queries
+
+    calls, count = [], corpus_queries.top_words
+    for m in (corpus_queries, more_queries):
+        monkeypatch.setattr(m, "top_words", lambda *a: calls.append(1) or count(*a))
+    assert more_queries.sparse_text_round_trip(spark, "/root/testdata/sf0.001").columns == ["word", "j", "value"] and len(calls) == 1
