@@ -9,11 +9,13 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import flat
 from ..functions import text as T
 from ..functions.errors import NotAllowedValue, UnsupportedType
 from ..functions.flat import PRIME
@@ -282,6 +284,56 @@ def best_spans(scored: DataFrame, share: float = 0.4) -> DataFrame:
     return scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.floor(F.lit(share) * F.col("n_words"))).drop("_r")
 
 
+def best_spans_by_place(sizes: DataFrame, widest: int, score: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], share: float = 0.4) -> DataFrame:
+    """``(doc_id, starts, ends)``: ``best_spans`` of the spans of up to ``widest`` words, scored by document, start and end; one row a document that has any, spans by rank.
+
+    ``sizes`` is ``(doc_id, n)``, the words of each sentence; several of one
+    document compete, each up to its own share.  Spans are made, ranked and
+    dropped within a task, so what is shuffled is one number a sentence.
+    """
+    kind = sizes.schema["doc_id"].dataType.simpleString()
+    docs = sizes.where("n > 0").groupBy("doc_id").agg(F.collect_list(F.col("n").cast("int")).alias("ns"))
+
+    def run(batches):
+        for whole in batches:
+            if not whole.num_rows:
+                continue
+            # A slice holds flat.TOKENS // 4 words at most, or one longer document.
+            values, at = flat.lists(flat.column(whole, "ns"))
+            done = np.concatenate([[0], np.cumsum(values.to_numpy().astype(np.int64))])[at]
+            cuts = [0]
+            while cuts[-1] < whole.num_rows:
+                cuts.append(max(cuts[-1] + 1, int(np.searchsorted(done, done[cuts[-1]] + flat.TOKENS // 4, "right")) - 1))
+            for a, b in zip(cuts, cuts[1:]):
+                yield from _ranked_spans(whole.slice(a, b - a), widest, score, share)
+
+    return docs.mapInArrow(run, f"doc_id {kind}, starts array<int>, ends array<int>")
+
+
+def _ranked_spans(batch: pa.RecordBatch, widest: int, score: Callable, share: float):
+    ids = flat.column(batch, "doc_id")
+    values, o = flat.lists(flat.column(batch, "ns"))
+    n = values.to_numpy().astype(np.int64)
+    word = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+    reach = np.minimum(widest, n[word] - place)
+    sentence, start = np.repeat(word, reach), np.repeat(place, reach)
+    end = start + np.arange(len(start)) - np.repeat(np.cumsum(reach) - reach, reach)
+    doc = np.repeat(np.arange(len(ids)), np.diff(o))[sentence]
+    if len(n) > len(ids):  # spans come by place, but for those of several sentences
+        by_place = np.lexsort((end, start, doc))
+        sentence, start, end, doc = sentence[by_place], start[by_place], end[by_place], doc[by_place]
+    # Without an id there is no score.
+    points = np.where(ids.is_null().to_numpy(zero_copy_only=False)[doc], 0, score(ids.fill_null(0).to_numpy()[doc], start, end))
+    order = np.lexsort((-points, doc))
+    rank = np.arange(len(order)) - np.searchsorted(doc, doc)  # documents stay in their order
+    order = order[rank < np.floor(share * n[sentence[order]])]
+    offsets = np.searchsorted(doc[order], np.arange(len(ids) + 1)).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[order].astype(np.int32))) for x in (start, end)]
+    some = pa.array(np.diff(offsets) > 0)
+    yield pa.RecordBatch.from_arrays([x.filter(some) for x in (ids, *lists)], ["doc_id", "starts", "ends"])
+
+
 def merge_mentions(links: list[tuple[int, int]]) -> list[list[int]]:
     """Clusters from (mention, antecedent) pairs in order: a pair joins the first cluster with either of them; clusters are never joined."""
     clusters: list[set[int]] = []
@@ -387,3 +439,12 @@ def antecedents(spans_: DataFrame, most: int = 50) -> DataFrame:
     pairs = at.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("mention") - most), F.col("mention") - 1)).alias("antecedent"))
     return pairs.select("doc_id", "mention", "antecedent", bucket_distance(F.col("mention") - F.col("antecedent")).alias("bucket"))
 
+
+def antecedent_buckets(mentions: DataFrame, most: int = 50) -> DataFrame:
+    """``(bucket, n)``: the pairs of ``antecedents`` by bucket, from the number of mentions ``(doc_id, n)`` of each document.
+
+    n mentions make n - d pairs at each distance d, so pairs are never made.
+    """
+    sizes = mentions.groupBy(F.col("n").cast("long").alias("n")).agg(F.count(F.lit(1)).alias("docs")).where("n > 1")
+    at = sizes.select("n", "docs", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(most).cast("long"), F.col("n") - 1))).alias("d"))
+    return at.groupBy(bucket_distance(F.col("d")).alias("bucket")).agg(F.sum(F.col("docs") * (F.col("n") - F.col("d"))).alias("n"))
