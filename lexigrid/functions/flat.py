@@ -15,10 +15,30 @@ import pyarrow.compute as pc
 
 #: Tokens of the sentences that are worked on at a time (a longer sentence is one slice), and pairs counted at a time.
 TOKENS, PAIRS = 1 << 20, 1 << 22
+#: The most cells of two vocabularies that a task holds as a dense matrix.
+CELLS = 1 << 22
+#: Distinct words from which on a sentence counts as long.
+LONG = 128
 #: Draws are numbers under this prime.
 PRIME = 2147483647
 
 
+def gathered(batches, name: str, limit: int = TOKENS // 2) -> Iterator[pa.RecordBatch]:
+    """Batches laid end to end until their lists hold ``limit`` values."""
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        o = column(b, name).offsets
+        held.append(b)
+        size += o[-1].as_py() - o[0].as_py()
+        if size >= limit:
+            yield held[0] if len(held) == 1 else pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -57,11 +77,63 @@ def known(code: np.ndarray, dictionary: pa.Array, listed: pa.Array | None) -> np
     return np.where(ok[code], code, -1)
 
 
+def placed(code: np.ndarray, dictionary: pa.Array, listed: pa.Array | None) -> tuple[np.ndarray, pa.Array]:
+    """Places in a list for codes, -1 for words that aren't listed, and the list; without one, codes and dictionary as they are."""
+    if listed is None:
+        return code, dictionary
+    at = np.append(pc.index_in(dictionary, value_set=listed).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), -1)
+    return at[code], listed
+
+
+def add(total: np.ndarray, keys: np.ndarray, weights: np.ndarray | None = None) -> None:
+    """Adds to the cells of a flat matrix how often their keys occur, or the keys' weights."""
+    if len(keys) * 8 >= len(total):
+        total += np.bincount(keys, weights, len(total)).astype(np.int64)
+    elif len(keys):
+        np.add.at(total, keys, 1 if weights is None else weights)
+
+
+def cells(total: np.ndarray, names: pa.Array, named: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The cells of a flat matrix that aren't 0, by word and context."""
+    at, width = np.flatnonzero(total), max(1, len(named))
+    for i in range(0, len(at), 1 << 16):
+        k = at[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(k // width)), named.take(pa.array(k % width)), pa.array(total[k])], ["word", "ctx", "n"])
+
+
 def taken(values: pa.Array, code: np.ndarray) -> pa.Array:
     """The values of codes, null for -1."""
     return values.take(pa.array(code, mask=code < 0))
 
 
+class Held:
+    """Counts of rows of values over a task's batches: equal rows are added up before they leave it, and at most about ``limit`` rows are held."""
+
+    def __init__(self, names: list[str], limit: int = 1 << 20):
+        self.names, self.limit, self.parts, self.rows = names, limit, [], 0
+
+    def add(self, values: list[pa.Array], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Takes a batch's counts, and gives those held if they are too many."""
+        self.parts.append(pa.table([*values, pa.array(n, pa.int64())], [*self.names, "n"]))
+        self.rows += len(n)
+        if self.rows > self.limit:
+            whole = self._whole()
+            self.parts, self.rows = [whole], whole.num_rows
+            if self.rows > self.limit // 2:
+                yield from self.rest()
+
+    def _whole(self) -> pa.Table:
+        both = pa.concat_tables(self.parts)
+        if len(self.parts) == 1:
+            return both
+        return both.group_by(self.names, use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select([*self.names, "n"])
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            yield from self._whole().to_batches(max_chunksize=1 << 16)
+        self.parts, self.rows = [], 0
+
+
 class Join:
     """An inner join with an array of keys: places in other keys, and the places here that are equal to them."""
 
@@ -153,10 +225,12 @@ def tally(keys: list[np.ndarray], weights: list[np.ndarray] | None = None) -> tu
     return kinds, np.bincount(at, np.concatenate(weights) if weights else None, len(kinds)).astype(np.int64)
 
 
-def sentence_pairs(target: np.ndarray, ctx: np.ndarray, offsets: np.ndarray, width: int, limit: int = PAIRS):
+def sentence_pairs(target: np.ndarray, ctx: np.ndarray, offsets: np.ndarray, width: int, limit: int = PAIRS, total: np.ndarray | None = None):
     """``(keys, counts)`` of the pairs of words of one sentence, key = target * width + context, a chunk of about ``limit`` pairs at a time.
 
     A word x times and another y times make x y pairs, a word with itself x (x - 1).
+    With ``total``, a flat matrix of all cells, they are added to it and not given; long
+    sentences are then multiplied as rows of a matrix, in blocks.
     """
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
@@ -167,6 +241,21 @@ def sentence_pairs(target: np.ndarray, ctx: np.ndarray, offsets: np.ndarray, wid
 
     tr, tw, tn = counted(target)
     cr, cw, cn = counted(ctx)
+    if total is not None:
+        is_long = np.bincount(cr, minlength=len(offsets) - 1) >= LONG
+        square, block = total.reshape(width, width), 128
+        place = np.cumsum(is_long) - 1
+        t_long, c_long = is_long[tr], is_long[cr]
+        rows = [(place[r[ok]], w[ok], n[ok]) for r, w, n, ok in ((tr, tw, tn, t_long), (cr, cw, cn, c_long))]
+        for i in range(0, int(is_long.sum()), block):
+            t, c = np.zeros((2, block, width))
+            for m, (r, w, n) in zip((t, c), rows):
+                a, b = np.searchsorted(r, [i, i + block])
+                m[r[a:b] - i, w[a:b]] = n[a:b]
+            square += (t.T @ c).astype(np.int64)
+            # a word isn't a context of the same place
+            square[np.arange(width), np.arange(width)] -= (t * (c > 0)).sum(axis=0).astype(np.int64)
+        tr, tw, tn = tr[~t_long], tw[~t_long], tn[~t_long]
     first, last = np.searchsorted(cr, tr), np.searchsorted(cr, tr, "right")
     done = np.concatenate([[0], np.cumsum(last - first)])
     start = 0
@@ -178,7 +267,10 @@ def sentence_pairs(target: np.ndarray, ctx: np.ndarray, offsets: np.ndarray, wid
         w = np.repeat(tw[start:end], size)
         n = np.repeat(tn[start:end], size) * (cn[at] - (w == cw[at]))
         some = n > 0
-        yield tally([(w * width + cw[at])[some]], [n[some]])
+        if total is None:
+            yield tally([(w * width + cw[at])[some]], [n[some]])
+        else:
+            add(total, w * width + cw[at], n)
         start = end
 
 

@@ -292,7 +292,7 @@ def best_spans_by_place(sizes: DataFrame, widest: int, score: Callable[[np.ndarr
     dropped within a task, so what is shuffled is one number a sentence.
     """
     kind = sizes.schema["doc_id"].dataType.simpleString()
-    docs = sizes.where("n > 0").groupBy("doc_id").agg(F.collect_list(F.col("n").cast("int")).alias("ns"))
+    docs = sizes.groupBy("doc_id").agg(F.collect_list(F.col("n").cast("int")).alias("ns"))
 
     def run(batches):
         for whole in batches:

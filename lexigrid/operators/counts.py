@@ -26,20 +26,77 @@ def tokens(sentences: DataFrame, *keep: str) -> DataFrame:
     return sentences.select("doc_id", "sent_id", *keep, F.posexplode("tokens").alias("pos", "word"))
 
 
+#: The attributes by which annotated tokens are counted.
+ATTRIBUTES = ("form", "lemma", "POS")
+
+
+def _coded(values: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """A code for each token, and by code the distinct tokens' attributes, or their one text."""
+    columns = values.flatten() if pa.types.is_struct(values.type) else [values]
+    parts = [flat.codes(c) for c in columns]
+    code = flat.dense(*[c for c, _ in parts]) if len(parts) > 1 else parts[0][0] + 1
+    first = np.zeros(int(code.max(initial=-1)) + 1, np.int64)
+    first[code] = np.arange(len(code))
+    if len(parts) == 1:
+        return code, [flat.taken(parts[0][1], np.arange(len(first)) - 1)]
+    return code, [flat.taken(names, c[first]) for c, names in parts]
+
+
 def count_words(sentences: DataFrame) -> DataFrame:
-    """``(word, n)``; annotated tokens are counted as (form, lemma, POS)."""
+    """``(word, n)``; annotated tokens are counted as (form, lemma, POS), in the sentences' own tasks first."""
+    kind = sentences.schema["tokens"].dataType.elementType
+    if kind.simpleString() == "string":
+        return sentences.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    one, columns = _attributes(kind)
+
+    def run(batches):
+        held = flat.Held(columns)
+        for b in flat.slices(flat.gathered(batches, "tokens"), "tokens"):
+            code, names = _coded(flat.lists(b.column(0))[0])
+            yield from held.add(names, np.bincount(code, minlength=len(names[0])))
+        yield from held.rest()
+
+    found = sentences.select(_projected(sentences)).mapInArrow(run, f"{', '.join(f'{c} {one[c]}' for c in columns)}, n long")
+    return found.groupBy(*columns).agg(F.sum("n").alias("n")).select(F.struct(*columns).alias("word"), "n")
+
+
+def _attributes(kind) -> tuple[dict[str, str], list[str]]:
+    """The types of the attributes by which tokens are counted."""
+    one = {f.name: f.dataType.simpleString() for f in kind if f.name in ATTRIBUTES}
+    return one, list(ATTRIBUTES)
+
+
+def _projected(sentences: DataFrame):
+    """Tokens with the attributes by which they are counted, or as texts."""
     kind = sentences.schema["tokens"].dataType.elementType
-    col = F.col("tokens") if kind.simpleString() == "string" else T.project(F.col("tokens"), ("form", "lemma", "POS"))
-    return sentences.select(F.explode(col).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    plain = kind.simpleString() == "string" or tuple(kind.fieldNames()) == ATTRIBUTES
+    return (F.col("tokens") if plain else T.project(F.col("tokens"), ATTRIBUTES)).alias("tokens")
 
 
 def count_bigrams(sentences: DataFrame) -> DataFrame:
-    """``(first, second, n)`` of adjacent tokens; a pair never crosses a sentence's end."""
+    """``(first, second, n)`` of adjacent tokens; a pair never crosses a sentence's end.
+
+    Pairs are counted in the sentences' own tasks first.
+    """
     kind = sentences.schema["tokens"].dataType.elementType
-    col = F.col("tokens") if kind.simpleString() == "string" else T.project(F.col("tokens"), ("form", "lemma", "POS"))
-    # Pairs are built within the sentence's row: no window, so no shuffle before the count.
-    pairs = F.arrays_zip(F.slice(col, 1, F.greatest(F.size(col) - 1, F.lit(0))).alias("first"), F.slice(col, 2, F.greatest(F.size(col) - 1, F.lit(0))).alias("second"))
-    return sentences.select(F.explode(pairs).alias("p")).groupBy(F.col("p.first").alias("first"), F.col("p.second").alias("second")).agg(F.count(F.lit(1)).alias("n"))
+    one, columns = ({"word": "string"}, ["word"]) if kind.simpleString() == "string" else _attributes(kind)
+    both = [f"{c}{k}" for k in (1, 2) for c in columns]
+
+    def run(batches):
+        held = flat.Held(both)
+        for b in flat.slices(flat.gathered(batches, "tokens"), "tokens"):
+            values, o = flat.lists(b.column(0))
+            code, names = _coded(values)
+            within = np.ones(len(code), bool)
+            within[o[1:][o[1:] > 0] - 1] = False
+            at, width = np.flatnonzero(within), max(1, len(names[0]))
+            kinds, n = np.unique(code[at] * width + code[at + 1], return_counts=True)
+            yield from held.add([x.take(pa.array(c)) for c in (kinds // width, kinds % width) for x in names], n)
+        yield from held.rest()
+
+    found = sentences.select(_projected(sentences)).mapInArrow(run, f"{', '.join(f'{c} {one[c[:-1]]}' for c in both)}, n long")
+    token = lambda k: (F.col(f"word{k}") if columns == ["word"] else F.struct(*[F.col(f"{c}{k}").alias(c) for c in columns]))
+    return found.groupBy(*both).agg(F.sum("n").alias("n")).select(token(1).alias("first"), token(2).alias("second"), "n")
 
 
 def describe(sentences: DataFrame, *by: str) -> DataFrame:
