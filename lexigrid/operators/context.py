@@ -89,8 +89,7 @@ class Window:
             if wide:
                 context, others = flat.codes(flat.lists(flat.column(batch, "c"))[0])
             else:
-                context, others = flat.known(code, names, listed_[1] and pa.array(listed_[1], pa.string())), names
-                code = flat.known(code, names, None if listed_[0] is None else pa.array(listed_[0], pa.string()))
+                (context, others), (code, names) = (flat.placed(code, names, None if x is None else pa.array(x, pa.string())) for x in (listed_[1], listed_[0]))
             reach = None
             if dynamic:
                 base = [flat.column(batch, f"base{k}").to_numpy() for k in (0, 1)]
@@ -103,6 +102,8 @@ class Window:
             gram, named = flat.grams(context[items], others, n)
             return o, code, names, gram, named, found
 
+        #: Whether codes are places in the two vocabularies, the same for all batches.
+        parts.fixed = targets is not None and contexts is not None and n == 1
         return sentences.select(*keep, "w", *(["c"] if wide else []), *bases), parts
 
     def __call__(self, sentences: DataFrame, words: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
@@ -127,12 +128,21 @@ class Window:
     def counted(self, sentences: DataFrame, words: DataFrame | None, vocab: DataFrame | None) -> DataFrame:
         """``(word, ctx[, dist], n)``: pairs are counted in the sentences' tasks first, so what is shuffled are partial counts."""
         rows, parts = self._rows(sentences, words, vocab)
-        far = self.distance
+        far, fixed = self.distance, parts.fixed
 
         def run(batches):
+            total = None
             for b in flat.slices(batches, "w"):
                 _, code, names, gram, named, found = parts(b)
-                width, keys, counts, held = max(1, len(named)), [], [], 0
+                width, keys, size = max(1, len(named)), [], 0
+                cells = len(names) * width
+                if fixed and not far and cells <= flat.CELLS:
+                    # Cells are added up as they are.
+                    total = (np.zeros(cells, np.int64), names, named) if total is None else total
+                    for t, k, _ in found:
+                        ok = gram[k] >= 0
+                        flat.add(total[0], code[t[ok]] * width + gram[k[ok]])
+                    continue
                 for t, k, dist in found:
                     ok = gram[k] >= 0
                     key = code[t[ok]] * width + gram[k[ok]]
@@ -140,21 +150,24 @@ class Window:
                         yield from _distances(key, dist[ok], width, names, named)
                         continue
                     keys.append(key)
-                    held += len(key)
-                    if held > flat.PAIRS:
-                        kinds, n = flat.tally(keys)
-                        counts.append((kinds, n))
-                        keys, held = [], 0
+                    size += len(key)
+                    if size > flat.PAIRS:
+                        yield _tallied(keys, width, names, named)
+                        keys, size = [], 0
                 if keys:
-                    counts.append(flat.tally(keys))
-                if counts:
-                    kinds, n = counts[0] if len(counts) == 1 else flat.tally([c[0] for c in counts], [c[1] for c in counts])
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(kinds // width)), named.take(pa.array(kinds % width)), pa.array(n)], ["word", "ctx", "n"])
+                    yield _tallied(keys, width, names, named)
+            if total is not None:
+                yield from flat.cells(*total)
 
         out = rows.mapInArrow(run, f"word string, ctx string, {'dist int, ' if far else ''}n long")
         return out.groupBy("word", "ctx", *(["dist"] if far else [])).agg(F.sum("n").alias("n"))
 
 
+def _tallied(keys: list[np.ndarray], width: int, names: pa.Array, named: pa.Array) -> pa.RecordBatch:
+    kinds, n = flat.tally(keys)
+    return pa.RecordBatch.from_arrays([names.take(pa.array(kinds // width)), named.take(pa.array(kinds % width)), pa.array(n)], ["word", "ctx", "n"])
+
+
 def _distances(key: np.ndarray, dist: np.ndarray, width: int, names: pa.Array, named: pa.Array):
     """Counts by pair and distance of one part."""
     if not len(key):

@@ -57,17 +57,29 @@ def _within_sentences(sentences: DataFrame, words: DataFrame, contexts: DataFram
     sentences' tasks before the shuffle, some millions at a time.
     """
     rows, parts = Window(0)._rows(sentences, words, contexts)
+    fixed = parts.fixed
 
     def run(batches):
-        for b in flat.slices(batches, "w"):
+        held = flat.Held(["word", "ctx"])
+        total = None
+        for b in flat.slices(flat.gathered(batches, "w"), "w"):
             o, target, names, ctx, named, _ = parts(b)
             # one dictionary for both, as a word isn't its own context
             code, all_ = flat.codes(pa.concat_arrays([names, named]))
             target = np.append(code[: len(names)], -1)[target]
             ctx = np.append(code[len(names) :], -1)[ctx]
             width = max(1, len(all_))
+            if fixed and width * width <= flat.CELLS:
+                # Words have the same codes in all batches: cells are added up as they are.
+                total = (np.zeros(width * width, np.int64), all_, all_) if total is None else total
+                for _ in flat.sentence_pairs(target, ctx, o, width, total=total[0]):
+                    pass
+                continue
             for kinds, n in flat.sentence_pairs(target, ctx, o, width):
-                yield pa.RecordBatch.from_arrays([all_.take(pa.array(kinds // width)), all_.take(pa.array(kinds % width)), pa.array(n)], ["word", "ctx", "n"])
+                yield from held.add([all_.take(pa.array(kinds // width)), all_.take(pa.array(kinds % width))], n)
+        if total is not None:
+            yield from flat.cells(*total)
+        yield from held.rest()
 
     return rows.mapInArrow(run, "word string, ctx string, n long").groupBy("word", "ctx").agg(F.sum("n").alias("n"))
 

@@ -4,6 +4,7 @@ import pytest
 
 from lexigrid.functions import flat
 from lexigrid.operators import contextual as B
+from lexigrid.operators import counts as K
 from lexigrid.plans import catalog
 from tests import comparing
 
@@ -13,8 +14,17 @@ TEXTS = [(7, "a b c d e f g h i j\nk l m\n\n" + "w " * 90), (-3, "x y z x y z x"
 @pytest.fixture(scope="module")
 def odd(spark, tmp_path_factory):
     """Texts with null and negative ids, tabs, blank lines and no text."""
-    where = str(tmp_path_factory.mktemp("odd"))
-    spark.createDataFrame([(i, t, "en") for i, t in TEXTS], "doc_id long, text string, lang string").write.parquet(f"{where}/documents.parquet")
+    return written(spark, str(tmp_path_factory.mktemp("odd")), TEXTS)
+
+
+@pytest.fixture(scope="module")
+def keyed(spark, tmp_path_factory):
+    """Those with an id: SQL's joins of tokens with tokens have no others."""
+    return written(spark, str(tmp_path_factory.mktemp("keyed")), [x for x in TEXTS if x[0] is not None])
+
+
+def written(spark, where, texts):
+    spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id long, text string, lang string").write.parquet(f"{where}/documents.parquet")
     import glob
     import os
 
@@ -55,3 +65,64 @@ def test_antecedents_are_counted_without_pairs(spark):
     pairs = {r.bucket: r["count"] for r in B.antecedents(spans).groupBy("bucket").count().collect()}
     got = B.antecedent_buckets(spans.groupBy("doc_id").count().withColumnRenamed("count", "n"))
     assert {r.bucket: r.n for r in got.collect()} == pairs
+
+
+def test_annotated_tokens_are_counted_in_their_tasks(spark, keyed):
+    """Tokens aren't exploded: a row that leaves a task is a distinct word or pair of a batch."""
+    for name in ("annotated_bigrams", "annotated_vocabulary", "annotated_lemma_counts", "bigram_counts"):
+        made = catalog.QUERIES[name](spark, keyed)
+        assert "Generate explode(arrays_zip" not in plan(made) and "Generate explode(transform" not in plan(made)
+        assert comparing.differences(made, catalog.ORACLE[name], keyed) == []
+    few = spark.range(0, 4000, 1, 4).selectExpr("id as doc_id", "0 as sent_id", "array('a', null, 'b', 'a', null) as tokens")
+    got = K.count_bigrams(few)
+    assert {(r.first, r.second): r.n for r in got.collect()} == {("a", None): 8000, (None, "b"): 4000, ("b", "a"): 4000}
+    assert "MapInArrow" in plan(got)
+
+
+def test_held_counts():
+    import numpy as np
+    import pyarrow as pa
+
+    held, rows = flat.Held(["a", "b"], limit=10), []
+    for i in range(40):
+        rows += [r for b in held.add([pa.array(["x", None, f"y{i}"]), pa.array([1, 2, i])], np.array([1, 2, 3])) for r in b.to_pylist()]
+        assert held.rows <= 10
+    rows += [r for b in held.rest() for r in b.to_pylist()]
+    total: dict = {}
+    for r in rows:
+        total[r["a"], r["b"]] = total.get((r["a"], r["b"]), 0) + r["n"]
+    assert total == {("x", 1): 40, (None, 2): 80} | {(f"y{i}", i): 3 for i in range(40)} and len(rows) < 120
+
+
+def test_sentence_pairs_as_a_matrix(monkeypatch):
+    """Cells of short and long sentences are those of the pairs."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    o = np.concatenate([[0], np.cumsum(r.integers(0, 60, 700))])
+    target, ctx = r.integers(-1, 40, o[-1]), r.integers(-1, 40, o[-1])
+    both = np.where(r.random(o[-1]) < 0.7, target, -1)
+    for x, y in ((target, target), (target, both), (both, target), (target, ctx)):
+        want = np.zeros(1600, np.int64)
+        for keys, n in flat.sentence_pairs(x, y, o, 40):
+            want[keys] += n
+        for long in (1, 12, 1000):
+            monkeypatch.setattr(flat, "LONG", long)
+            got = np.zeros(1600, np.int64)
+            assert list(flat.sentence_pairs(x, y, o, 40, limit=500, total=got)) == [] and (got == want).all()
+
+
+def test_cells_of_vocabularies_leave_a_task_once(spark):
+    """One row a cell and task, however many batches a task has."""
+    from lexigrid.operators import context as X
+    from lexigrid.operators.cooccurrence import count_cooccurrence
+
+    few = spark.range(0, 30000, 1, 2).selectExpr("id as doc_id", "0 as sent_id", "array('a', 'b', 'a', if(id % 3 = 0, 'c', 'a')) as tokens")
+    v = K.vocabulary(spark, ["a", "b", "c"])
+    for context in (X.Window(2), X.Sentence(), X.Window((1, 2), dirty=True)):
+        made = count_cooccurrence(few, v, context, v)
+        found = made._jdf.queryExecution().optimizedPlan().children().apply(0)
+        rows = made._jdf.sparkSession().sessionState().executePlan(found, made._jdf.queryExecution().mode()).toRdd().count()
+        assert rows <= 2 * 9, rows
+        rows = context(few, v, v).groupBy("word", "ctx").count().collect()
+        assert {(r.word, r.ctx): r.n for r in made.collect()} == {(r.word, r.ctx): r["count"] for r in rows}
