@@ -126,3 +126,32 @@ def test_cells_of_vocabularies_leave_a_task_once(spark):
         assert rows <= 2 * 9, rows
         rows = context(few, v, v).groupBy("word", "ctx").count().collect()
         assert {(r.word, r.ctx): r.n for r in made.collect()} == {(r.word, r.ctx): r["count"] for r in rows}
+
+
+def test_angles_by_bins(spark, monkeypatch):
+    """All pairs once, at edges as elsewhere; two blocks meet in one task."""
+    import math
+
+    import numpy as np
+
+    from lexigrid.functions import distance as D
+    from lexigrid.operators import vectors as V
+
+    edges = [math.pi * i / 40 for i in range(41)]
+    r = np.random.default_rng(1)
+    m = r.standard_normal((500, 5))
+    m[:8] = [[math.cos(math.pi * i / 40), math.sin(math.pi * i / 40), 0, 0, 0] for i in (0, 1, 10, 20, 30, 39, 40, 0)]
+    m[8], m[9] = 0, m[10]
+    m[20:260] = np.round(m[20:260])
+    for cuts in (np.array(edges), np.array([0.3, 0.30001, 1.0, 3.0])):
+        for chosen in (None, r.random((500, 500)) < 0.5):
+            d = D.kernel("angle")(m, m)
+            assert (V._angle_counts(m, m, cuts, chosen) == np.histogram(d if chosen is None else d[chosen], cuts)[0]).all()
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "word long, vec array<double>")
+    want = np.histogram(D.kernel("angle")(m, m)[np.triu_indices(500, 1)], edges)[0].tolist()
+    met = []
+    grid = V.grid
+    monkeypatch.setattr(V, "grid", lambda *a: met.append(grid(*a)) or met[-1])
+    assert [x.n for x in V.pair_histogram(v, edges, block=64).orderBy("bin").collect()] == want and sum(want) == 500 * 499 // 2
+    # one strip a pair of 8 blocks, with 41 - 1 bins each
+    assert met[0].count() == 40 * 8 * 9 // 2
