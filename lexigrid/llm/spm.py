@@ -13,12 +13,13 @@ merges the two pieces under an edge whenever they are just two; this gives the
 ids of the model's own library, which the highest-scoring path doesn't.
 ``unigram`` reads a model's pieces and scores as a Unigram model's.
 
-Texts are never shuffled.  A word remembers which parts of input files (of
-``PART_BYTES``) it is from; the encoded words are written once as one small
-dictionary for each part, and a second pass over the texts looks its words up
-in the dictionary of its own part.  What a worker holds is thus bounded by a
-part, whatever the table.  Texts that don't come straight from files are
-written to some first.
+Texts are never shuffled.  A word remembers which parts of input files it is
+from (of ``PART_BYTES``, cut again where a task has read ``PART_TEXT`` of
+texts); the encoded words are written once as one small dictionary for each
+part, and a second pass over the texts looks its words up in the dictionary of
+its own part.  What a worker holds is thus bounded by a part, whatever the
+table, the sizes of its files and row groups, and their compression.  Texts
+that don't come straight from files are written to some first.
 """
 
 from __future__ import annotations
@@ -43,9 +44,9 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 _UNSEEN_PENALTY = 10.0
 #: Bytes of the texts that a worker encodes at a time; its largest temporary arrays have eight times as many.
-SLICE_BYTES = 4 << 20
-#: Bytes of an input file whose words have one dictionary.
-PART_BYTES = 128 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of an input file, and of the texts that a task has read of it, whose words have one dictionary.
+PART_BYTES, PART_TEXT = 32 << 20, 64 << 20
 #: Bytes of input files for which there is a task of words, and the most of these tasks.
 TASK_BYTES, MOST_TASKS = 16 << 20, 50_000
 
@@ -312,12 +313,17 @@ def encode(docs: DataFrame, p: Pieces, id_col: str = "doc_id", text_col: str = "
         slim = C.materialize(slim, "texts")
     size = int(str(slim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     slim = slim.withColumn("f", F.xxhash64(F.input_file_name(), F.floor(F.input_file_block_start() / PART_BYTES)))
-    prefix = p.prefix
+    prefix, most = p.prefix, PART_TEXT
 
     def words(batches):
+        read: dict = {}
         for b in batches:
-            for key, part in _by_file(b):
-                seen = [pc.unique(units(A.column(s, "text"), table, prefix)[0]) for s in A.slices([part], "text", SLICE_BYTES)]
+            for key, part in _by_part(b, read, most):
+                seen = []
+                for s in A.slices([part], "text", SLICE_BYTES):
+                    seen.append(pc.unique(units(A.column(s, "text"), table, prefix)[0]))
+                    if len(seen) == 8:
+                        seen = [pc.unique(pa.concat_arrays(seen))]
                 u = pc.unique(pa.concat_arrays(seen))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), key)), u], ["f", "word"])
 
@@ -338,19 +344,20 @@ def encode(docs: DataFrame, p: Pieces, id_col: str = "doc_id", text_col: str = "
         model, by_piece = shared.value
         alone = merge_steps if model.kind == BPE else best_path
         held: dict = {}
+        read: dict = {}
         for b in batches:
-            for key, part in _by_file(b):
+            for key, part in _by_part(b, read, most):
                 for s in A.slices([part], "text", SLICE_BYTES):
                     text = A.column(s, "text")
                     u, r = units(text, table, prefix)
                     if len(u) and key not in held:
-                        held = {key: _dictionary(where, key)}
-                    dict_words, values, offsets = held[key] if len(u) else (pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int64))
+                        held.clear()  # before the next one is read
+                        held[key] = _dictionary(where, key)
+                    dict_words, values, offsets = held[key] if len(u) else (pa.chunked_array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int64))
                     code = pc.dictionary_encode(u)
                     kinds = code.dictionary
-                    at = pc.index_in(kinds, value_set=dict_words)
-                    new = np.flatnonzero(pc.is_null(at).to_numpy(zero_copy_only=False))
-                    at = at.fill_null(0).to_numpy().astype(np.int64)
+                    at = _places(kinds, dict_words)
+                    new = np.flatnonzero(at < 0)
                     v, o = values, offsets
                     if len(new):
                         extra = [alone(kinds[int(i)].as_py().replace(" ", SPACE), by_piece, model) for i in new]
@@ -366,12 +373,38 @@ def encode(docs: DataFrame, p: Pieces, id_col: str = "doc_id", text_col: str = "
     return out.withColumnRenamed("id", id_col)
 
 
-def _by_file(batch: pa.RecordBatch):
-    """``(file, its rows)``; a batch of one file, the usual case, isn't copied."""
+def _by_part(batch: pa.RecordBatch, read: dict, most: int):
+    """``(part, its rows)``; a batch of one file, the usual case, isn't copied.
+
+    ``read`` has the bytes of texts that the task has read of each file: both passes read the same rows in the same
+    order, however they are cut into batches.  Were they not, words would be missed in a dictionary and encoded alone.
+    """
     f = A.column(batch, "f")
     keys = pc.unique(f).to_pylist()
     for key in keys:
-        yield key, batch if len(keys) == 1 else batch.filter(pc.equal(f, key))
+        rows = batch if len(keys) == 1 else batch.filter(pc.equal(f, key))
+        o = A.flat(A.column(rows, "text"))[1] + read.get(key, 0)
+        read[key] = int(o[-1])
+        k = o[:-1] // most
+        cuts = [0, *(np.flatnonzero(np.diff(k)) + 1).tolist(), len(k)]
+        for a, b in zip(cuts, cuts[1:]):
+            # A part's number is spread over the 64 bits of a key; two parts of one key would share their dictionary.
+            yield (key + int(k[a]) * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64) - (1 << 63), rows.slice(a, b - a)
+
+
+def _places(kinds: pa.Array, dict_words: pa.ChunkedArray) -> np.ndarray:
+    """The place of each of some distinct words in a dictionary, -1 where it isn't.
+
+    The dictionary's words are looked up among the others, a chunk at a time: only the few are ever hashed.
+    """
+    at = np.full(len(kinds), -1, np.int64)
+    start = 0
+    for chunk in dict_words.chunks:
+        got = pc.index_in(chunk, value_set=kinds)
+        found = np.flatnonzero(pc.is_valid(got).to_numpy(zero_copy_only=False))
+        at[got.drop_null().to_numpy()] = start + found
+        start += len(chunk)
+    return at
 
 
 def _from_files(df: DataFrame) -> bool:
@@ -405,11 +438,18 @@ def _dictionary(where: str, key: int):
     if system.get_file_info(at).type == fs.FileType.NotFound:
         raise FileNotFoundError(f"workers don't see {where}")
     infos = system.get_file_info(fs.FileSelector(f"{at}/f={key}", allow_not_found=True))
-    parts = [pq.read_table(i.path, filesystem=system, columns=["word", "ids"]) for i in infos if i.path.endswith(".parquet")]
-    parts = [t.filter(pc.is_valid(t.column("ids"))) for t in parts]
-    t = pa.concat_tables(parts).combine_chunks() if parts else pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
-    ids = pa.concat_arrays(t.column("ids").chunks) if t.num_rows else pa.array([], pa.list_(pa.int32()))
-    return t.column("word"), ids.values.to_numpy().astype(np.int32), ids.offsets.to_numpy().astype(np.int64) if t.num_rows else np.zeros(1, np.int64)
+    words, values, sizes = [], [], []
+    for i in infos:
+        if i.path.endswith(".parquet"):
+            with system.open_input_file(i.path) as f, pq.ParquetFile(f) as file:
+                # Batch by batch, so that the file's decoded columns aren't there beside what is kept of them.
+                for b in file.iter_batches(1 << 16, columns=["word", "ids"], use_threads=False):
+                    b = b.filter(pc.is_valid(A.column(b, "ids")))
+                    words.append(A.column(b, "word"))
+                    values.append(A.column(b, "ids").flatten().to_numpy().astype(np.int32))
+                    sizes.append(pc.list_value_length(A.column(b, "ids")).to_numpy())
+    sizes = np.concatenate([np.zeros(1, np.int32), *sizes])
+    return pa.chunked_array(words, pa.string()), np.concatenate([np.zeros(0, np.int32), *values]), np.cumsum(sizes, dtype=np.int64)
 
 
 def decode(ids: Column, p: Pieces) -> Column:

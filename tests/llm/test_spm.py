@@ -111,6 +111,32 @@ def test_behind_a_shuffle_and_from_files(spark, make, tmp_path, library, monkeyp
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+@pytest.mark.parametrize("kind", [S.BPE, S.UNIGRAM])
+def test_dictionaries_are_bounded_within_a_row_group(spark, make, tmp_path, monkeypatch, kind):
+    """One row group is one task and has one place in its file, however large it is: what a worker holds of its words is bounded all the same."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(S, "PART_TEXT", 20_000, raising=False)
+    monkeypatch.setattr(S.C, "shared_dir", lambda spark, name: f"file://{tmp_path}/{name}")
+    p, texts = dataclasses.replace(P, kind=kind), [words(i, 300, 26**4) for i in range(60)]
+    make(list(enumerate(texts))).coalesce(1).write.parquet(f"{tmp_path}/t")
+    got = {r.doc_id: list(r.ids) for r in S.encode(spark.read.parquet(f"{tmp_path}/t"), p).collect()}
+    alone, ranks = S.merge_steps if kind == S.BPE else S.best_path, {s: (i, x) for i, (s, x, u) in enumerate(zip(P.pieces, P.scores, P.usable)) if u}
+    assert {i: len(ids) for i, ids in got.items()} == {i: sum(len(alone(f"{S.SPACE}{w}", ranks, p)) for w in t.split()) for i, t in enumerate(texts)}
+    held = [sum(pq.read_metadata(f).num_rows for f in glob.glob(f"{d}/*.parquet")) for d in glob.glob(f"{tmp_path}/dictionaries/f=*")]
+    assert sum(held) > 17_000 and max(held) < 4_500, held
+
+
+def test_places_in_a_dictionary_of_several_chunks():
+    import pyarrow as pa
+
+    kinds = pa.array(["b", "zz", "a", "", "d"])
+    assert S._places(kinds, pa.chunked_array([["a", "x"], [], ["y", "b"], [""]], pa.string())).tolist() == [3, -1, 0, 4, -1]
+    assert S._places(kinds, pa.chunked_array([], pa.string())).tolist() == [-1] * 5
+
+
 def test_decoding_of_malformed_ids(spark):
     df = spark.createDataFrame([(0, [P.byte0 + 0xC3]), (1, [P.byte0 + 0xC3, P.byte0 + 0xA9]), (2, [10**6, 1]), (3, []), (4, None), (5, [P.byte0 + 0xFF, P.byte0 + 65])], "i int, ids array<int>")
     got = {r.i: r.t for r in df.select("i", S.decode(F.col("ids"), P).alias("t")).collect()}
