@@ -101,6 +101,48 @@ def cells(total: np.ndarray, names: pa.Array, named: pa.Array) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([names.take(pa.array(k // width)), named.take(pa.array(k % width)), pa.array(total[k])], ["word", "ctx", "n"])
 
 
+def nested(keys: list[np.ndarray], width: int, named: pa.Array) -> pa.RecordBatch:
+    """One row a context, key = context * width + target: its targets and how often it occurs with each, as pairs of 32-bit numbers laid end to end."""
+    kinds, n = tally(keys)
+    ctx = kinds // width
+    first = np.flatnonzero(np.diff(ctx, prepend=-1))
+    pairs = np.stack([kinds % width, n], axis=1).astype(np.uint32)
+    bounds = (np.append(first, len(kinds)) * 8).astype(np.int32)
+    return pa.RecordBatch.from_arrays([named.take(pa.array(ctx[first])), pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(pairs)])], ["ctx", "pairs"])
+
+
+def unnested(batches, names: pa.Array, limit: int = PAIRS // 4) -> Iterator[pa.RecordBatch]:
+    """The sums of ``nested`` rows that are sorted by context, by word and context.
+
+    About ``limit`` pairs are worked on at a time, and the last context's sums, one a target at most, wait for its next rows.
+    """
+    width = max(1, len(names))
+    last, kept = None, np.zeros((2, 0), np.int64)
+
+    def rows(key, n, kinds):
+        return pa.RecordBatch.from_arrays([names.take(pa.array(key % width)), kinds.take(pa.array(key // width)), pa.array(n)], ["word", "ctx", "n"])
+
+    for b in batches:
+        start = 0
+        while start < b.num_rows:
+            _, offsets, data = column(b, "pairs").buffers()
+            o = np.frombuffer(offsets, np.int32)[column(b, "pairs").offset :][: b.num_rows + 1].astype(np.int64)
+            end = min(max(int(np.searchsorted(o, o[start] + 8 * limit, "right")) - 1, start + 1), b.num_rows)
+            pairs = np.frombuffer(data, np.uint8)[o[start] : o[end]].view(np.uint32).reshape(-1, 2).astype(np.int64)
+            code, kinds = codes(column(b, "ctx").slice(start, end - start))
+            if last is not None and kinds[0].as_py() != last:
+                yield rows(*kept, pa.array([last], names.type))
+                kept = np.zeros((2, 0), np.int64)
+            key, n = tally([kept[0], np.repeat(code * width, np.diff(o[start : end + 1]) // 8) + pairs[:, 0]], [kept[1], pairs[:, 1]])
+            whole = int(np.searchsorted(key, (len(kinds) - 1) * width))
+            if whole:
+                yield rows(key[:whole], n[:whole], kinds)
+            last, kept = kinds[-1].as_py(), np.stack([key[whole:] % width, n[whole:]])
+            start = end
+    if last is not None:
+        yield rows(*kept, pa.array([last], names.type))
+
+
 def taken(values: pa.Array, code: np.ndarray) -> pa.Array:
     """The values of codes, null for -1."""
     return values.take(pa.array(code, mask=code < 0))

@@ -104,6 +104,8 @@ class Window:
 
         #: Whether codes are places in the two vocabularies, the same for all batches.
         parts.fixed = targets is not None and contexts is not None and n == 1
+        #: The targets, if codes are places in them and contexts are whatever is found.
+        parts.targets = targets if vocab is None and not wide else None
         return sentences.select(*keep, "w", *(["c"] if wide else []), *bases), parts
 
     def __call__(self, sentences: DataFrame, words: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
@@ -129,6 +131,8 @@ class Window:
         """``(word, ctx[, dist], n)``: pairs are counted in the sentences' tasks first, so what is shuffled are partial counts."""
         rows, parts = self._rows(sentences, words, vocab)
         far, fixed = self.distance, parts.fixed
+        if parts.targets is not None and not far:
+            return self._discovered(rows, parts)
 
         def run(batches):
             total = None
@@ -163,6 +167,38 @@ class Window:
         return out.groupBy("word", "ctx", *(["dist"] if far else [])).agg(F.sum("n").alias("n"))
 
 
+    def _discovered(self, rows: DataFrame, parts: Callable) -> DataFrame:
+        """``(word, ctx, n)`` of all contexts found with listed targets.
+
+        What is shuffled and sorted is one row a context of some hundred thousand tokens, with its targets' places and counts, not one
+        for each pair; rows of a context meet in a task and are added up there as they come by.
+        """
+        spark = rows.sparkSession
+        names = spark.sparkContext.broadcast(parts.targets)
+
+        def run(batches):
+            for b in flat.slices(flat.gathered(batches, "w", flat.TOKENS), "w"):
+                _, code, listed_, gram, named, found = parts(b)
+                width, keys, size = max(1, len(listed_)), [], 0
+                for t, k, _ in found:
+                    ok = gram[k] >= 0
+                    keys.append(gram[k[ok]] * width + code[t[ok]])
+                    size += len(keys[-1])
+                    if size > flat.PAIRS:
+                        yield flat.nested(keys, width, named)
+                        keys, size = [], 0
+                if size:
+                    yield flat.nested(keys, width, named)
+
+        def total(batches):
+            yield from flat.unnested(batches, pa.array(names.value, pa.string()))
+
+        found = rows.mapInArrow(run, "ctx string, pairs binary")
+        # A number of partitions that is given isn't changed at run time: all rows of a context stay in one.
+        met = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "ctx").sortWithinPartitions("ctx")
+        return met.mapInArrow(total, "word string, ctx string, n long")
+
+
 def _tallied(keys: list[np.ndarray], width: int, names: pa.Array, named: pa.Array) -> pa.RecordBatch:
     kinds, n = flat.tally(keys)
     return pa.RecordBatch.from_arrays([names.take(pa.array(kinds // width)), named.take(pa.array(kinds % width)), pa.array(n)], ["word", "ctx", "n"])

@@ -155,3 +155,47 @@ def test_angles_by_bins(spark, monkeypatch):
     assert [x.n for x in V.pair_histogram(v, edges, block=64).orderBy("bin").collect()] == want and sum(want) == 500 * 499 // 2
     # one strip a pair of 8 blocks, with 41 - 1 bins each
     assert met[0].count() == 40 * 8 * 9 // 2
+
+
+def test_discovered_contexts_are_added_up_as_they_come_by():
+    """Sorted rows of contexts, cut into batches and limits anywhere, give the counts of the pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    names, named = pa.array(["t0", "t1", "t2"]), pa.array([f"c{i}" for i in range(9)])
+    want: dict = {}
+    made = []
+    for _ in range(40):
+        ctx, word = r.integers(0, 9, 30) ** 2 // 9, r.integers(0, 3, 30)
+        for c, w in zip(ctx.tolist(), word.tolist()):
+            want[f"t{w}", f"c{c}"] = want.get((f"t{w}", f"c{c}"), 0) + 1
+        made.append(flat.nested([ctx * 3 + word], 3, named))
+        assert made[-1].num_rows == len(set(ctx.tolist()))
+    met = pa.Table.from_batches(made).sort_by("ctx").combine_chunks().to_batches()[0]
+    for size in (1, 7, 1000):
+        batches = [met.slice(i, size) for i in range(0, met.num_rows, size)]
+        for limit in (1, 10, 10**6):
+            got = [x for b in flat.unnested(iter([met.slice(0, 0), *batches]), names, limit) for x in b.to_pylist()]
+            assert len(got) == len(want) and {(x["word"], x["ctx"]): x["n"] for x in got} == want
+    assert list(flat.unnested(iter([]), names)) == []
+
+
+def test_discovered_contexts_leave_a_task_once(spark, keyed):
+    """What is shuffled is a row for each context of a task, not for each pair."""
+    from lexigrid.operators import context as X
+    from lexigrid.operators.cooccurrence import count_cooccurrence
+
+    few = spark.range(0, 30000, 1, 2).selectExpr("id as doc_id", "0 as sent_id", "array('a', 'b', null, 'a', if(id % 3 = 0, 'c', 'a'), 'b', 'd')  as tokens")
+    v = K.vocabulary(spark, ["a", "b", "c"])
+    for context in (X.Window(2), X.Window((1, 3)), X.Window(2, dirty=True), X.Window(3, n_grams=2), X.Window(3, dynamic=True, seed=2)):
+        made = count_cooccurrence(few, v, context)
+        node = made._jdf.queryExecution().optimizedPlan()
+        while "Repartition" not in node.nodeName() and "Aggregate" not in node.nodeName():
+            node = node.children().apply(0)
+        found = made._jdf.sparkSession().sessionState().executePlan(node.children().apply(0), made._jdf.queryExecution().mode()).toRdd().count()
+        rows = context(few, v).groupBy("word", "ctx").count().collect()
+        assert found <= 2 * len({r.ctx for r in rows}), found
+        assert {(r.word, r.ctx): r.n for r in made.collect()} == {(r.word, r.ctx): r["count"] for r in rows}
+    made = catalog.QUERIES["cooc_asymmetric_discovered"](spark, keyed)
+    assert comparing.differences(made, catalog.ORACLE["cooc_asymmetric_discovered"], keyed) == []
